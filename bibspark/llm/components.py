@@ -1,0 +1,45 @@
+"""Connected components of an edge table, on the cluster: large-star and small-star rounds until nothing changes.
+
+Labels only ever fall, a round costs a few shuffles of the edges that are left, and the number of rounds grows with the
+logarithm of a component's size.  Each round's edges are cut loose by checkpoint().
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from bibspark.llm.common import checkpointed
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Join each vertex's larger (or smaller) neighbours to its least neighbour (itself included); no list of neighbours is gathered."""
+    if large:
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    joined = both.join(least, "a")
+    if large:
+        out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
+    else:
+        out = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(least.select("a", F.col("low").alias("b")))
+    return out.filter(F.col("a") != F.col("b")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(vertex, component) for each vertex of the edges (a, b); component is its component's least vertex.
+
+    Null ends and loops are left out; repeated edges are no matter.
+    """
+    edges = checkpointed(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while True:
+        edges = checkpointed(_star(_star(edges, True), False))
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first()
+        if now == before:
+            break
+        before = now
+    labels = edges.groupBy("a").agg(F.min("b").alias("component"))
+    roots = edges.select("b").distinct().select(F.col("b").alias("a"), F.col("b").alias("component"))
+    return labels.unionByName(roots).groupBy("a").agg(F.min("component").alias("component")).withColumnRenamed("a", "vertex")
