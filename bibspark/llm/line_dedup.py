@@ -15,30 +15,34 @@ from pyspark.sql import functions as F
 from bibspark.llm.common import text_or_empty
 
 LINES = 3
+LOW, HIGH = 0xFFFFFFFF, "-4294967296L"
 
 
-def _windows(rows: DataFrame, lines: int) -> DataFrame:
-    """key, pos, and two hashes of independent seeds for each window.  Only hashes leave the row that holds the lines."""
+def _hashed(lines: int) -> str:
+    """Array of (mark, h1, h2) for the windows of a row's lines; a mark is the position in its low and part of the hash in its high 32 bits."""
     parts = ", ".join(f"lines[i + {k}]" for k in range(lines))
-    hashed = F.expr(f"transform(sequence(0, n_lines - {lines}), i -> struct(i AS pos, xxhash64({parts}) AS h1, xxhash64(7, {parts}) AS h2))")
-    return rows.filter(F.col("n_lines") >= lines).select("key", F.inline(hashed))
+    return f"transform(sequence(0, n_lines - {lines}), i -> struct((xxhash64({parts}) & {HIGH}) | i AS mark, xxhash64({parts}) AS h1, xxhash64(7, {parts}) AS h2))"
 
 
 def later_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
     """docs with the columns lines (array), n_lines and covered (array of 0-based positions that later occurrences cover).
 
     Lines end at a line feed and are compared as they stand.  A document of fewer than `lines` lines has no
-    window and keeps all; a null text has no lines.  Documents are in the order of key, null first; repeated keys
-    count as one occurrence, so repeated rows get the same result.
+    window and keeps all; a null text has no lines.  Documents are in the order of key, null first; at one
+    position of rows with equal keys no row is later than another, so repeated rows get the same result.
     """
     keyed = docs.drop("lines", "n_lines", "covered")
     cut = F.when(F.col(text).isNotNull(), F.split(F.col(text), "\n", -1))
     rows = keyed.select(F.col(key).alias("key"), cut.alias("lines")).withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)))
-    owners = _windows(rows, lines).groupBy("h1", "h2").agg(F.min(F.struct("key", "pos")).alias("own")).select("own.key", "own.pos")
-    owned = owners.groupBy("key").agg(F.collect_set("pos").alias("owned")).select(F.col("key").alias("owner_key"), "owned")
+    windows = rows.filter(F.col("n_lines") >= lines).select("key", F.inline(F.expr(_hashed(lines))))  # only hashes leave the row that holds the lines
+    first = F.min(F.struct("key", F.col("mark").bitwiseAND(F.lit(LOW)).alias("pos"), "mark"))
+    owners = windows.groupBy("h1", "h2").agg(first.alias("own")).select("own.key", "own.mark")
+    owned = owners.groupBy("key").agg(F.collect_set("mark").alias("owned")).select(F.col("key").alias("owner_key"), "owned")
     out = keyed.join(owned, F.col(key).eqNullSafe(F.col("owner_key")), "left").drop("owner_key")
     out = out.withColumn("lines", F.coalesce(cut, F.expr("cast(array() as array<string>)"))).withColumn("n_lines", F.size("lines"))
-    starts = F.when(F.col("n_lines") >= lines, F.array_except(F.sequence(F.lit(0), F.col("n_lines") - lines), F.coalesce("owned", F.expr("cast(array() as array<int>)")))).otherwise(F.expr("cast(array() as array<int>)"))
+    none = "cast(array() as array<bigint>)"
+    later = F.expr(f"if(n_lines >= {lines}, array_except(transform({_hashed(lines)}, x -> x.mark), coalesce(owned, {none})), {none})")
+    starts = F.transform(later, lambda x: x.bitwiseAND(F.lit(LOW)).cast("int"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + (lines - 1))))))
     return out.withColumn("covered", covered).drop("owned")
 
