@@ -14,36 +14,26 @@ from pyspark.sql import functions as F
 CRLF = "\r\n"
 SPEC = "WARC/1.1"
 
-# How HTML becomes text, in order: (pattern, replacement).  The patterns mean the same to Java and RE2.
-TEXT_STEPS = (
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", " "),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", " "),
-    (r"(?is)<noscript\b[^>]*>.*?</noscript\s*>", " "),
-    (r"(?is)<template\b[^>]*>.*?</template\s*>", " "),
-    (r"(?is)<title\b[^>]*>.*?</title\s*>", " "),
-    (r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", "\n"),
-    (r"<[!/?A-Za-z][^>]*>", ""),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-    (r"[ \t\r\f\x0B]+", " "),
-    (r" ?\n[ \n]*", "\n"),
-    (r"^[ \n]+", ""),
-    (r"[ \n]+$", ""),
-)
+# How HTML becomes text, in order: (pattern, replacement) that means the same to Java and RE2, or (literal text, replacement).
+HIDDEN = (r"(?is)<!--.*?-->|" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "noscript", "template", "title")), " ")
+BLOCKS = (r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", "\n")
+TAGS = (r"<[!/?A-Za-z][^>]*>", "")
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+SPACES = (r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
+LINES = (r" ?\n[ \n]*", "\n")
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 LANG = r"(?i)<html\b[^>]*\blang=[\"']?([A-Za-z0-9-]+)"
 LINK = r"(?i)<a\s[^>]*href\s*="
 
 
 def text_of_html(html: Column) -> Column:
-    for pattern, replacement in TEXT_STEPS:
+    for pattern, replacement in (HIDDEN, BLOCKS, TAGS):
         html = F.regexp_replace(html, pattern, replacement)
-    return html
+    for entity, sign in ENTITIES:
+        html = F.replace(html, F.lit(entity), F.lit(sign))
+    for pattern, replacement in (SPACES, LINES):
+        html = F.regexp_replace(html, pattern, replacement)
+    return F.trim(html, F.lit(" \n"))
 
 
 def urn(*parts: Column) -> Column:
@@ -128,10 +118,15 @@ def _quoted(s: str) -> str:
 
 def sql() -> str:
     """The same for DuckDB."""
+    step = lambda text, pattern, to: f"regexp_replace({text}, {_quoted(pattern)}, {'chr(10)' if to == chr(10) else _quoted(to)}, 'g')"
     text = "html"
-    for pattern, replacement in TEXT_STEPS:
-        to = "chr(10)" if replacement == "\n" else _quoted(replacement)
-        text = f"regexp_replace({text}, {_quoted(pattern)}, {to}, 'g')"
+    for s in (HIDDEN, BLOCKS, TAGS):
+        text = step(text, *s)
+    for entity, sign in ENTITIES:
+        text = f"replace({text}, {_quoted(entity)}, {_quoted(sign)})"
+    for s in (SPACES, LINES):
+        text = step(text, *s)
+    text = f"trim({text}, ' ' || chr(10))"
     nl = "chr(13) || chr(10)"
     uuid = lambda h: f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
     line = lambda name, v: f"CASE WHEN {v} IS NULL THEN '' ELSE '{name}: ' || regexp_replace({v}, '[' || chr(13) || chr(10) || ']+', ' ', 'g') || {nl} END"
