@@ -65,4 +65,4 @@ def lines(words: DataFrame, *, keys: list[str], line: list[str], text: str = "te
 def mean_confidence(words: DataFrame, *, keys: list[str]) -> DataFrame:
     """Mean of the confidences that aren't negative, as a share from 0 to 1; 0 without any."""
     mean = F.avg(F.when(F.col("conf") >= 0, F.col("conf"))) / 100
-    return words.groupBy(*keys).agg(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)), F.lit(0.0)).alias("confidence"))
+    return words.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(mean, F.lit(0.0)))).alias("confidence"))
