@@ -9,7 +9,7 @@ table weighs as much as a rare one, and no join runs on hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibspark.llm.common import text_or_empty
@@ -32,27 +32,32 @@ def later_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lin
     position of rows with equal keys no row is later than another, so repeated rows get the same result.
     """
     keyed = docs.drop("lines", "n_lines", "covered")
-    cut = F.when(F.col(text).isNotNull(), F.split(F.col(text), "\n", -1))
-    rows = keyed.select(F.col(key).alias("key"), cut.alias("lines")).withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)))
+    cut = F.struct(F.coalesce(F.split(F.col(text), "\n", -1), F.expr("cast(array() as array<string>)")).alias("lines"))
+    rows = keyed.select(F.col(key).alias("key"), _once(cut)).withColumn("n_lines", F.size("lines"))
     windows = rows.filter(F.col("n_lines") >= lines).select("key", F.inline(F.expr(_hashed(lines))))  # only hashes leave the row that holds the lines
     first = F.min(F.struct("key", F.col("mark").bitwiseAND(F.lit(LOW)).alias("pos"), "mark"))
     owners = windows.groupBy("h1", "h2").agg(first.alias("own")).select("own.key", "own.mark")
     owned = owners.groupBy("key").agg(F.collect_set("mark").alias("owned")).select(F.col("key").alias("owner_key"), "owned")
     out = keyed.join(owned, F.col(key).eqNullSafe(F.col("owner_key")), "left").drop("owner_key")
-    out = out.withColumn("lines", F.coalesce(cut, F.expr("cast(array() as array<string>)"))).withColumn("n_lines", F.size("lines"))
+    out = out.select("*", _once(cut)).withColumn("n_lines", F.size("lines"))
     none = "cast(array() as array<bigint>)"
     later = F.expr(f"if(n_lines >= {lines}, array_except(transform({_hashed(lines)}, x -> x.mark), coalesce(owned, {none})), {none})")
     starts = F.transform(later, lambda x: x.bitwiseAND(F.lit(LOW)).cast("int"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + (lines - 1))))))
-    return out.withColumn("covered", covered).drop("owned")
+    return out.select("*", _once(F.struct(covered.alias("covered")))).drop("owned")
+
+
+def _once(values: Column) -> Column:
+    """The struct's fields as columns, worked out once for each row: filters and projections above can't be merged into a generator."""
+    return F.inline(F.array(values))
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
     """docs with n_lines, n_removed and kept_text (the lines that stay, joined by line feeds; null where text is null)."""
-    found = later_lines(docs, key=key, text=text, lines=lines)
+    found = later_lines(docs.drop("n_removed", "kept_text"), key=key, text=text, lines=lines)
     kept = F.expr("array_join(transform(array_except(sequence(0, n_lines - 1), covered), i -> lines[i]), '\\n')")
-    out = found.withColumn("n_removed", F.size("covered")).withColumn("kept_text", F.when(F.col(text).isNull(), F.lit(None).cast("string")).when(F.col("n_removed") == 0, F.col(text)).otherwise(kept))
-    return out.drop("lines", "covered")
+    left = F.when(F.col(text).isNull(), F.lit(None).cast("string")).when(F.size("covered") == 0, F.col(text)).otherwise(kept)
+    return found.select("*", _once(F.struct(F.size("covered").alias("n_removed"), left.alias("kept_text")))).drop("lines", "covered")
 
 
 def digests(docs: DataFrame) -> DataFrame:
