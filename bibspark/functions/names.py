@@ -16,6 +16,11 @@ MARKERS = r"(?iu)(?:\d+(?:,\d+)*)|[*†‡#]+|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+"
 NO_ONE = "cast(array() as array<struct<full:string,family:string,given:string>>)"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used: a lambda variable holds it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _person(full: Column, family: Column, given: Column) -> Column:
     return F.struct(full.alias("full"), family.alias("family"), given.alias("given"))
 
@@ -30,11 +35,14 @@ def usual_case(name: Column) -> Column:
 
 def natural(name: Column) -> Column:
     """struct of a name in natural order, null for a single word: the surname is the last word, or the last two with a suffix or an integral particle."""
-    words = F.split(usual_case(name), r"(?U)\s+")
-    n = F.size(words)
-    two = F.lower(F.try_element_at(words, F.lit(-1))).isin(*SUFFIXES) | F.lower(F.try_element_at(words, F.lit(-2))).isin(*INTEGRAL)
-    k = F.when(two, 2).otherwise(1)
-    return F.when(n >= 2, _person(F.array_join(words, " "), F.array_join(F.slice(words, n - k + 1, k), " "), F.array_join(F.slice(words, F.lit(1), n - k), " ")))
+
+    def split(words: Column) -> Column:
+        n = F.size(words)
+        two = F.lower(F.try_element_at(words, F.lit(-1))).isin(*SUFFIXES) | F.lower(F.try_element_at(words, F.lit(-2))).isin(*INTEGRAL)
+        k = F.when(two, 2).otherwise(1)
+        return F.when(n >= 2, _person(F.array_join(words, " "), F.array_join(F.slice(words, n - k + 1, k), " "), F.array_join(F.slice(words, F.lit(1), n - k), " ")))
+
+    return let(F.split(usual_case(name), r"(?U)\s+"), split)
 
 
 def from_line(line: Column) -> Column:
@@ -60,9 +68,9 @@ def inverted(name: Column, *, family_only: bool = False) -> Column:
 def reviewed(value: Column) -> Column:
     """Persons of a reviewed value: parts between semicolons, inverted or natural; null where any part isn't one person."""
     parts = F.filter(F.transform(F.split(value, ";"), lambda p: F.trim(squeeze(p), F.lit(" ,"))), lambda p: p != "")
-    one = lambda p: F.when(F.contains(p, F.lit(",")), inverted(p)).otherwise(F.when(F.size(from_line(p)) == 1, F.try_element_at(from_line(p), F.lit(1))))
-    people = F.transform(parts, one)
-    return F.when(value.isNull() | (value == ""), F.expr(NO_ONE)).when(F.exists(people, lambda p: p.isNull()), F.lit(None)).otherwise(people)
+    one = lambda p: F.when(F.contains(p, F.lit(",")), inverted(p)).otherwise(let(from_line(p), lambda q: F.when(F.size(q) == 1, F.get(q, F.lit(0)))))
+    whole = let(F.transform(parts, one), lambda q: F.when(~F.exists(q, lambda p: p.isNull()), q))
+    return F.when(value.isNull() | (value == ""), F.expr(NO_ONE)).otherwise(whole)
 
 
 def of_values(values: Column) -> Column:
@@ -79,12 +87,14 @@ def listed(values: Column, *, family_only: bool = False) -> Column:
 
 def shown(values: Column, *, all_names: bool = True) -> Column:
     """SURNAME, given; SURNAME, given.  From four persons on the first alone with et al., unless all are wanted; values that can't be read show as they are."""
-    people = of_values(values)
-    chosen = people if all_names else F.when(F.size(people) >= 4, F.slice(people, 1, 1)).otherwise(people)
-    text = F.array_join(F.transform(chosen, lambda p: F.rtrim(F.concat(F.upper(p["family"]), F.lit(", "), p["given"]), F.lit(", "))), "; ")
-    if not all_names:
-        text = F.concat(text, F.when(F.size(people) >= 4, F.lit(" et al.")).otherwise(""))
     from bibspark.functions.text import strip_terminal
 
     plain = F.array_join(F.transform(values, strip_terminal), "; ")
-    return F.when(F.size(people) > 0, F.rtrim(text, F.lit("."))).otherwise(plain)
+
+    def text(people: Column) -> Column:
+        many = (F.size(people) >= 4) if not all_names else F.lit(False)
+        chosen = F.when(many, F.slice(people, 1, 1)).otherwise(people)
+        listed = F.array_join(F.transform(chosen, lambda p: F.rtrim(F.concat(F.upper(p["family"]), F.lit(", "), p["given"]), F.lit(", "))), "; ")
+        return F.when(F.size(people) > 0, F.rtrim(F.concat(listed, F.when(many, F.lit(" et al.")).otherwise("")), F.lit("."))).otherwise(plain)
+
+    return let(of_values(values), text)

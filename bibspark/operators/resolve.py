@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bibspark.functions.text import doi_from_url, doi_selected
 from bibspark.operators.ledger import HUMAN
+from bibspark.operators.rounds import checkpointed
 
 # Bonuses, thresholds and aliases of the resolution rules.
 SOURCE_BONUS = {"pdf": 0.0, "bibtex": 0.06, "ris": 0.06, "catalog": 0.0}
@@ -191,9 +192,10 @@ def resolve(ledger: DataFrame, types: DataFrame, catalog, *, access_date: str, o
     known = chosen.join(F.broadcast(catalog.dim_schema(spark)), "schema_id")
     wanted = known.select("record_id", "schema_id").join(F.broadcast(shape), "schema_id")
     candidates = with_aliases(ledger, wanted, excluded)
+    candidates = checkpointed(candidates)  # read several times below
     candidates = candidates.unionByName(_default(wanted, candidates, "access_date", access_date, "execution_date", "<execution>").select(*candidates.columns)).unionByName(_default(wanted, candidates, "place", UNKNOWN_PLACE, "normative_unknown_place", "<catalog>").select(*candidates.columns))
-    fields = cohere_url(resolve_fields(candidates, repeatable), ledger, repeatable)
-    fields = fields.join(wanted.select("record_id", "field_id", "ordinal", "required"), ["record_id", "field_id"])
+    fields = cohere_url(checkpointed(resolve_fields(candidates, repeatable)), ledger, repeatable)
+    fields = checkpointed(fields.join(wanted.select("record_id", "field_id", "ordinal", "required"), ["record_id", "field_id"]))
     missing = missing_required(fields.select("record_id", "field_id"), known, shape, catalog.dim_condition(spark), strict=strict)
     conflicts = fields.filter("status = 'conflict'").groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "field_id"))), lambda x: x["field_id"]).alias("conflicting"))
     everyone = ledger.select("record_id").unionByName(types.select("record_id")).distinct()

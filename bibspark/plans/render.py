@@ -332,8 +332,14 @@ def emphasis(family: Column, medium: Column, fields: Column) -> Column:
     return F.transform(F.array_sort(F.transform(distinct, lambda v, i: F.struct(-F.length(v), i, v.alias("v")))), lambda s: s["v"])
 
 
+def _first_list(r: Fields, *fields: str) -> Column:
+    """The values of the first of these fields that has any, null if none has."""
+    return F.get(F.filter(F.array(*[r.all(f) for f in fields]), lambda v: F.size(v) > 0), F.lit(0))
+
+
 def sort_responsibility(r: Fields) -> Column:
-    people = F.coalesce(*[F.when(F.size(r.all(f)) > 0, r.people(f)) for f in ("authors", "composer", "host_authors")])
+    values = _first_list(r, "authors", "composer", "host_authors")
+    people = F.when(values.isNotNull(), names.shown(values, all_names=r.all_names))
     return F.coalesce(people, corporate(r.one("corporate_author")), r.one("jurisdiction"), r.one("event_name"), r.one("creator"), r.one("title"), r.one("service_title"), F.lit(""))
 
 
@@ -350,6 +356,7 @@ def authorship(r: Fields) -> Column:
     """What two works must share to need year letters: the names, folded, or the corporate name."""
     key = lambda c: F.lower(squeeze(c))
     fold = lambda people: F.transform(people, lambda p: F.concat(key(p["family"]), F.lit("\t"), key(p["given"])))
-    people = F.coalesce(*[F.when(F.size(names.of_values(r.all(f))) > 0, fold(names.of_values(r.all(f)))) for f in ("authors", "composer", "creator", "host_authors")])
+    lists = F.filter(F.transform(F.array(*[r.all(f) for f in ("authors", "composer", "creator", "host_authors")]), names.of_values), lambda p: F.size(p) > 0)
+    people = names.let(lists, lambda q: F.when(F.size(q) > 0, fold(F.get(q, F.lit(0)))))
     other = F.coalesce(*[r.one(f) for f in ("corporate_author", "jurisdiction", "event_name", "title", "service_title", "creator")])
     return F.coalesce(people, F.when(other.isNotNull(), F.array(F.concat(key(other), F.lit("\t")))), F.expr("cast(array() as array<string>)"))
