@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the context cleaner drop the shuffle files of plans that nothing refers to any more.
+
+    It acts when the driver's JVM collects its garbage, which knows of Python's a moment after Python let go of it; hence two rounds.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import checkpointed, text_or_empty
+from bibspark.llm.common import checkpointed, release_shuffles, shuffle_width, text_or_empty
 
 WORDS = 16
 BASE = 8  # cells of each subtable of the fingerprint itself
@@ -37,9 +37,9 @@ def _cell(digest: str, table: int, size: str, seed: str) -> str:
 
 def cells(signed: DataFrame, by: list[str]) -> DataFrame:
     """Cells (cell, c, k, h) for each group `by` from rows (by, digests, sign, size, seed); of a signed pair, their difference."""
-    put = ", ".join(f"struct({_cell('d', t, 'size', 'seed')} AS cell)" for t in range(TABLES))
-    spread = signed.select(*by, "sign", "size", "seed", F.explode("digests").alias("d")).select(*by, "sign", "size", "seed", "d", F.expr(f"inline(array({put}))"))
-    return _merged(spread.select(*by, "size", "seed", "cell", F.col("sign").alias("c"), F.col("d").alias("k"), F.hash("d").alias("h")), by)
+    put = ", ".join(f"struct({_cell('d', t, 'size', 'seed')} AS cell, sign AS c, d AS k, hash(d) AS h)" for t in range(TABLES))
+    spread = signed.select(*by, "sign", "size", "seed", F.explode("digests").alias("d"))
+    return _merged(spread.select(*by, "size", "seed", F.expr(f"inline(array({put}))")), by)
 
 
 def _merged(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -48,14 +48,14 @@ def _merged(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def peel(found: DataFrame, by: list[str], rounds: int) -> DataFrame:
-    """(by, taken, left): digests taken out of the cells, and cells that didn't become empty.  Cell -1 counts what was taken."""
+    """The cells that are left after so many rounds; a cell -1 counts the digests that were taken out."""
     for r in range(rounds):
         t = r % TABLES
         pure = f"abs(c) = 1 AND cell >= {t} * size AND cell < {t + 1} * size AND h = hash(k)"
         others = ", ".join(f"struct({_cell('k', o, 'size', 'seed')} AS cell, -c AS c, k AS k, h AS h)" for o in range(TABLES) if o != t)
         moved = F.expr(f"inline(if({pure}, array(struct(-1 AS cell, 1 AS c, 0L AS k, 0 AS h), {others}), array(struct(cell AS cell, c AS c, k AS k, h AS h))))")
         found = _merged(found.select(*by, "size", "seed", moved), by)
-    return found.groupBy(*by).agg(F.sum(F.expr("if(cell < 0, c, 0)")).alias("taken"), F.count_if(F.col("cell") >= 0).alias("left"))
+    return found
 
 
 def fingerprint(cell_list: Column, count: Column) -> Column:
@@ -64,31 +64,43 @@ def fingerprint(cell_list: Column, count: Column) -> Column:
     return F.concat_ws(";", count.cast("string"), F.concat_ws(";", shown))
 
 
-def likeness(pairs: DataFrame, *, base: int = BASE) -> DataFrame:
-    """(row, kind, near) for rows (row, kind, left_set, right_set) of digest arrays.
+def likeness(sets: DataFrame, kinds: dict[str, tuple[str, str]], *, base: int = BASE) -> DataFrame:
+    """(row, then a column for each kind) for rows (row, digest arrays); kinds names the two arrays to compare for each result.
 
-    near is the Jaccard similarity of the sets by their sketches' peeled difference: 1 for two empty sets, 0 where just one is empty.
-    (row, kind) is unique.  The sets' sizes are part of a fingerprint, so a try that can't peel by size alone isn't made.
+    A result is the Jaccard similarity of two sets by their sketches' peeled difference: 1 for two empty sets, 0 where just one is
+    empty.  row is unique.  The sets' sizes are part of a fingerprint, so a first try that must fail by size alone isn't made.
+    Sets are dealt out by row once for each try; every step of a try groups or joins by row and stays in place.
     """
-    by = ["row", "kind"]
-    width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sized = pairs.withColumn("total", F.size("left_set") + F.size("right_set")).withColumn("apart", F.abs(F.size("left_set") - F.size("right_set")))
-    done = None
-    attempt = 0
+    names = list(kinds)
+    width = shuffle_width(sets.sparkSession)
+    state, attempt = None, 0
     while True:
-        size = F.lit(base) if attempt == 0 else (F.ceil(F.col("total") * 0.6) + 6) * (1 << (attempt - 1))
-        if attempt == 0:
-            tried = sized.filter(F.col("apart") <= TABLES * base)
-        dealt = (tried if attempt == 0 else sized).repartition(width, "row").withColumn("size", size.cast("int")).withColumn("seed", F.lit(attempt))
-        signed = dealt.select(*by, "size", "seed", F.expr("inline(array(struct(left_set AS digests, 1 AS sign), struct(right_set AS digests, -1 AS sign)))"))
-        got = peel(cells(signed, by), by, 9 if attempt == 0 else 15)
-        met = dealt.select(*by, "total").join(got, by, "left").select(*by, "total", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("left", F.lit(0)).alias("left"))
-        met = checkpointed(met)
-        good = met.filter("left = 0").select(*by, F.expr("if(total = 0, 1D, (total - taken) / cast(total + taken AS double))").alias("near"))
-        done = good if done is None else done.unionByName(good)
-        sized = checkpointed(sized.join(good.select(*by), by, "left_anti"))
-        if sized.isEmpty():
-            return done
+        rows = sets.select("row", *dict.fromkeys(c for pair in kinds.values() for c in pair), *([F.lit(True).alias(f"open_{i}") for i in range(len(kinds))] if state is None else []))
+        if state is None:
+            rows = rows.repartition(width, "row")
+        if state is not None:
+            todo = state.filter(" OR ".join(f"{n} IS NULL" for n in names)).select(F.col("row").alias("todo"), *[F.col(n).isNull().alias(f"open_{i}") for i, n in enumerate(names)])
+            rows = rows.join(todo.hint("shuffle_hash"), F.col("row") == F.col("todo"))  # the small side is hashed, the sets aren't sorted
+        for i, (a, b) in enumerate(kinds.values()):
+            apart = F.abs(F.size(a) - F.size(b)) > TABLES * base
+            rows = rows.withColumn(f"total_{i}", F.size(a) + F.size(b)).withColumn(f"tried_{i}", F.col(f"open_{i}") & (~apart if attempt == 0 else F.lit(True)))
+        pairs = ", ".join(f"struct({i} AS kind, tried_{i} AS tried, total_{i} AS total, {a} AS left_set, {b} AS right_set)" for i, (a, b) in enumerate(kinds.values()))
+        size = f"{base}" if attempt == 0 else f"(ceil(total * 0.6) + 6) * {1 << (attempt - 1)}"
+        dealt = rows.select("row", F.expr(f"inline(filter(array({pairs}), p -> p.tried))"))
+        signed = dealt.select("row", "kind", F.expr(f"cast({size} AS int) AS size"), F.lit(attempt).alias("seed"), F.expr("inline(array(struct(left_set AS digests, 1 AS sign), struct(right_set AS digests, -1 AS sign)))"))
+        left = peel(cells(signed, ["row", "kind"]), ["row", "kind"], 9 if attempt == 0 else 15)
+        got = left.groupBy("row").agg(*[x for i in range(len(kinds)) for x in (F.sum(F.expr(f"if(cell < 0 AND kind = {i}, c, 0)")).alias(f"taken_{i}"), F.count_if((F.col("cell") >= 0) & (F.col("kind") == i)).alias(f"left_{i}"))]).withColumnRenamed("row", "got_row")
+        near = [F.expr(f"CASE WHEN tried_{i} AND coalesce(left_{i}, 0) = 0 THEN if(total_{i} = 0, 1D, (total_{i} - coalesce(taken_{i}, 0)) / cast(total_{i} + coalesce(taken_{i}, 0) AS double)) END AS {n}") for i, n in enumerate(names)]
+        flat = rows.select("row", *[f"{x}_{i}" for i in range(len(kinds)) for x in ("total", "tried")])
+        new = flat.join(got, F.col("row") == F.col("got_row"), "left").select("row", *near)
+        if state is not None:
+            new = new.select(F.col("row").alias("new_row"), *[F.col(n).alias(f"new_{n}") for n in names])
+            new = state.join(new, F.col("row") == F.col("new_row"), "left").select("row", *[F.coalesce(n, f"new_{n}").alias(n) for n in names])
+        state = checkpointed(new)
+        del rows, dealt, signed, left, got, flat, new
+        release_shuffles(sets.sparkSession)
+        if state.filter(" OR ".join(f"{n} IS NULL" for n in names)).isEmpty():
+            return state
         attempt += 1
 
 
@@ -109,6 +121,29 @@ def following(ids: DataFrame) -> DataFrame:
     return inner.join(F.broadcast(before), F.col("part") == F.col("at")).select("id", F.coalesce("below", "fallback").alias("next_id"))
 
 
+def _versions(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, id, n_chars, edited_sha256, own, new, next_set): the digests of each row's text, edited text and next document."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
+    counted = rows.select("id").groupBy("id").count()
+    plain = counted.filter("id IS NULL OR count > 1").isEmpty()
+    if plain:  # the rule: the key numbers the rows
+        rows = rows.filter("id IS NOT NULL")
+        number = F.col("id").alias("row")
+    else:
+        rows = checkpointed(rows.withColumn("number", F.monotonically_increasing_id()))
+        number = F.col("number").alias("row")
+    third = "cast(floor(length(text) / 3) as int)"
+    order = checkpointed(following(rows.select("id")))
+    wants = rows.select("id", F.expr(third).alias("k")).groupBy("id").agg(F.max("k").alias("k")).withColumnRenamed("id", "for_id").join(order.withColumnRenamed("id", "order_id"), F.col("for_id") == F.col("order_id")).select("next_id", "for_id", "k")
+    heads = rows.join(wants, rows["id"] == wants["next_id"]).select("for_id", F.expr("substring(text, 1, k)").alias("head"), digests_of(F.col("text")).alias("next_set")).groupBy("for_id").agg(F.min("head").alias("head"), F.min("next_set").alias("next_set"))
+    both = rows.join(heads, rows["id"] == heads["for_id"], "left")
+    edited = F.concat(F.expr(f"substring(text, 1, length(text) - {third})"), F.expr(f"coalesce(substring(head, 1, {third}), '')"))
+    nothing = F.expr("cast(array() as array<bigint>)")
+    made = both.select(number, "id", F.length("text").cast("long").alias("n_chars"), digests_of(F.col("text")).alias("own"), edited.alias("edited"), F.coalesce("next_set", nothing).alias("next_set"))
+    made = made.select("row", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests_of(F.col("edited")).alias("new"), "next_set")
+    return checkpointed(made)
+
+
 def compare_versions(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprint each text and its edited form, and compare it with that and with the next document.
 
@@ -116,28 +151,16 @@ def compare_versions(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     descending order of key (after the last: the first), or all of them.  Returns key, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next for each row.  A null text counts as empty.  A row without a key has no next
     document: its last third goes, and near_next is the likeness to an empty text.  Rows with equal keys each have a result;
-    as a next document the one with the least digest list stands for them.
+    as a next document the one with the least beginning and the least digest list stand for them.
+
+    Texts are shuffled by key once: the same exchange serves as the source of the next documents' beginnings and as their target.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
-    third = F.floor(F.length("text") / 3).cast("int")
-    order = checkpointed(following(rows.select("id")))
-    wants = rows.select("id", third.alias("k")).groupBy("id").agg(F.max("k").alias("k")).join(order, "id").select("next_id", F.col("id").alias("for_id"), "k")
-    heads = rows.join(wants, rows["id"] == wants["next_id"]).groupBy("for_id").agg(F.min(F.expr("substring(text, 1, k)")).alias("head"))
-    both = rows.join(heads, rows["id"] == heads["for_id"], "left")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("coalesce(substring(head, 1, cast(floor(length(text) / 3) as int)), '')"))
-    made = both.select("id", F.length("text").cast("long").alias("n_chars"), digests_of(F.col("text")).alias("own"), edited.alias("edited"))
-    made = made.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests_of(F.col("edited")).alias("new"), F.monotonically_increasing_id().alias("row"))
-    made = checkpointed(made)  # also fixes the numbers of the rows
-    nexts = made.filter("id IS NOT NULL").groupBy("id").agg(F.min("own").alias("next_set")).withColumnRenamed("id", "next_key")
-    linked = made.select("row", "id").join(order.withColumnRenamed("id", "order_id"), F.col("id") == F.col("order_id"), "left").select("row", "next_id").join(nexts, F.col("next_id") == F.col("next_key"), "left").select(F.col("row").alias("row_of"), "next_set")
-    nothing = F.expr("cast(array() as array<long>)")
-    full = made.join(linked, F.col("row") == F.col("row_of")).select("row", "own", "new", F.coalesce("next_set", nothing).alias("next_set"))
-    pairs = full.select("row", F.expr("inline(array(struct(0 AS kind, own AS left_set, new AS right_set), struct(1 AS kind, own AS left_set, next_set AS right_set)))"))
-    near = likeness(checkpointed(pairs)).groupBy("row").pivot("kind", [0, 1]).agg(F.first("near")).withColumnsRenamed({"0": "near_edited", "1": "near_next", "row": "near_row"})
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = made.select("row", "own", "new").repartition(width, "row")
-    sides = dealt.select("row", F.lit(BASE).alias("size"), F.lit(0).alias("seed"), F.lit(1).alias("sign"), F.expr("inline(array(struct(0 AS kind, own AS digests), struct(1 AS kind, new AS digests)))"))
+    made = _versions(docs, key, text)
+    release_shuffles(docs.sparkSession)  # those that moved texts
+    near = likeness(made, {"near_edited": ("own", "new"), "near_next": ("own", "next_set")}).withColumnRenamed("row", "near_row")
+    sides = made.select("row", "own", "new").repartition(shuffle_width(docs.sparkSession), "row").select("row", F.lit(BASE).alias("size"), F.lit(0).alias("seed"), F.lit(1).alias("sign"), F.expr("inline(array(struct(0 AS kind, own AS digests), struct(1 AS kind, new AS digests)))"))
     held = cells(sides, ["row", "kind"]).groupBy("row").agg(*[F.collect_list(F.when(F.col("kind") == i, F.struct("cell", "c", "k", "h"))).alias(n) for i, n in ((0, "own_cells"), (1, "new_cells"))]).withColumnRenamed("row", "cell_row")
-    out = made.join(held, F.col("row") == F.col("cell_row"), "left").join(near, F.col("row") == F.col("near_row"))
+    shown = made.select("row", "id", "n_chars", "edited_sha256", F.size("own").alias("n_own"), F.size("new").alias("n_new"))
+    out = shown.join(held, F.col("row") == F.col("cell_row"), "left").join(near, F.col("row") == F.col("near_row"))
     none = F.expr("cast(array() as array<struct<cell:int,c:int,k:bigint,h:int>>)")
-    return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), "n_chars", "edited_sha256", fingerprint(F.coalesce("own_cells", none), F.size("own")).alias("fingerprint"), fingerprint(F.coalesce("new_cells", none), F.size("new")).alias("edited_fingerprint"), "near_edited", "near_next")
+    return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), "n_chars", "edited_sha256", fingerprint(F.coalesce("own_cells", none), F.col("n_own")).alias("fingerprint"), fingerprint(F.coalesce("new_cells", none), F.col("n_new")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -58,9 +58,9 @@ def test_small_tables(spark, sf_dir):
 
 
 def test_peeling_recovers_the_difference(spark):
-    pairs = spark.createDataFrame([(1, 0, [1, 2, 3], [2, 3, 4, 5]), (1, 1, [], []), (2, 0, [7], []), (2, 1, list(range(500)), list(range(250, 900)))], "row long, kind int, left_set array<long>, right_set array<long>")
-    got = {(r.row, r.kind): r.near for r in ibf.likeness(pairs).collect()}
-    assert got == pytest.approx({(1, 0): 2 / 5, (1, 1): 1.0, (2, 0): 0.0, (2, 1): 250 / 900})
+    sets = spark.createDataFrame([(1, [1, 2, 3], [2, 3, 4, 5], []), (2, [7], [], [7]), (3, list(range(500)), list(range(250, 900)), list(range(499))), (4, [], [], [])], "row long, a array<long>, b array<long>, c array<long>")
+    got = {r.row: (r.x, r.y) for r in ibf.likeness(sets, {"x": ("a", "b"), "y": ("a", "c")}).collect()}
+    assert got == {1: pytest.approx((2 / 5, 0)), 2: pytest.approx((0, 1)), 3: pytest.approx((250 / 900, 499 / 500)), 4: pytest.approx((1, 1))}
 
 
 def test_order_of_documents(spark):
