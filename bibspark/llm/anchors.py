@@ -33,7 +33,7 @@ from bibspark.llm.wordhash import Words
 WINDOW = 50
 BLOCK = 8
 GROUP_CHARS = 2_000_000
-BUCKET_WORDS = 4_000_000
+BUCKET_WORDS = 500_000
 SMALL = np.iinfo(np.int64).min  # stands for a null id, which comes first
 
 
