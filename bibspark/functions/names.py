@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bibspark.functions.text import squeeze
+from bibspark.functions.text import let, squeeze
 
 # What marks affiliations, suffixes that stay with the surname, particles.
 AFFILIATIONS = ("universidade", "department", "departamento", "faculdade", "institute", "laboratory")
@@ -16,11 +16,6 @@ MARKERS = r"(?iu)(?:\d+(?:,\d+)*)|[*†‡#]+|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+"
 NO_ONE = "cast(array() as array<struct<full:string,family:string,given:string>>)"
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with the value worked out once, however often it is used: a lambda variable holds it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _person(full: Column, family: Column, given: Column) -> Column:
     return F.struct(full.alias("full"), family.alias("family"), given.alias("given"))
 

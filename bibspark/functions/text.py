@@ -24,6 +24,11 @@ MONTH_WORDS = (
 RESOLVER = r"(?i)^https?://(?:dx\.)?doi\.org/"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used: a lambda variable holds it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -81,10 +86,13 @@ def doi_url(c: Column) -> Column:
 def doi_identifier(c: Column) -> Column:
     """The DOI that a URL or bare identifier names, percent signs decoded; null where the host isn't the resolver."""
     bare = F.coalesce(F.try_url_decode(F.replace(F.rtrim(strip(c), F.lit(".;, ")), F.lit("+"), F.lit("%2B"))), c)
-    full = F.when(F.contains(bare, F.lit("://")), bare).otherwise(F.concat(F.lit("https://doi.org/"), bare))
-    host = F.regexp_replace(F.lower(F.regexp_extract(full, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
-    path = F.regexp_extract(full, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.when(host.isin("doi.org", "dx.doi.org"), F.nullif(F.lower(strip(F.ltrim(path, F.lit("/")))), F.lit("")))
+
+    def named(url: Column) -> Column:
+        host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
+        path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+        return F.when(host.isin("doi.org", "dx.doi.org"), F.nullif(F.lower(strip(F.ltrim(path, F.lit("/")))), F.lit("")))
+
+    return let(let(bare, lambda x: F.when(F.contains(x, F.lit("://")), x).otherwise(F.concat(F.lit("https://doi.org/"), x))), named)
 
 
 def month(c: Column) -> Column:
@@ -93,8 +101,12 @@ def month(c: Column) -> Column:
     names = F.array(*[F.lit(m) for m in MONTHS])
     tokens = F.transform(F.split(c, "[/–-]"), lambda t: F.lower(F.regexp_replace(t, "[^A-Za-zÀ-ÿ]", "")))
     found = F.filter(F.transform(tokens, lambda t: F.try_element_at(table, t)), lambda n: n.isNotNull())
-    first, last = F.element_at(names, F.try_element_at(found, F.lit(1))), F.element_at(names, F.try_element_at(found, F.lit(-1)))
-    return F.when(c == "", F.lit(None)).when(F.size(found) == 0, strip(c)).when(F.size(found) == 1, first).when(F.size(found) > 1, F.concat(first, F.lit("/"), last))
+
+    def named(n: Column) -> Column:
+        first, last = F.element_at(names, F.try_element_at(n, F.lit(1))), F.element_at(names, F.try_element_at(n, F.lit(-1)))
+        return F.when(F.size(n) == 0, strip(c)).when(F.size(n) == 1, first).otherwise(F.concat(first, F.lit("/"), last))
+
+    return F.when(c != "", let(found, named))
 
 
 def date_in_words(c: Column) -> Column:

@@ -94,7 +94,7 @@ class Fields:
         """DOI, then the URL with its date of access unless it only repeats the DOI."""
         doi = doi_url(self.one("doi"))
         url = strip_terminal(self.one("url"))
-        repeats = F.coalesce(doi_identifier(url) == doi_identifier(doi), F.lit(False)) | F.coalesce(doi.isNotNull() & doi_identifier(url).isNull() & doi_identifier(doi).isNull(), F.lit(False))
+        repeats = doi.isNotNull() & doi_identifier(url).eqNullSafe(doi_identifier(doi))
         shown = url != ""
         if self.policy.get("doi_url_deduplication"):
             shown = shown & ~repeats
