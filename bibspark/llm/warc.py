@@ -8,6 +8,8 @@ Everything is a projection of one scan: no shuffle, no Python.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ SPEC = "WARC/1.1"
 HIDDEN = (r"(?is)<!--.*?-->|" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "noscript", "template", "title")), " ")
 BLOCKS = (r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", "\n")
 TAGS = (r"<[!/?A-Za-z][^>]*>", "")
+# What the SQL decodes; the query decodes every reference (`unescaped`).
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 SPACES = (r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
 LINES = (r" ?\n[ \n]*", "\n")
@@ -26,11 +29,48 @@ LANG = r"(?i)<html\b[^>]*\blang=[\"']?([A-Za-z0-9-]+)"
 LINK = r"(?i)<a\s[^>]*href\s*="
 
 
+# Character references as HTML has them: a number, or a name; some old names stand without a semicolon, also at the start of a longer word.
+REFERENCE = r"&(?:#(?:[xX][0-9A-Fa-f]+|[0-9]+)|[A-Za-z][A-Za-z0-9]*);?"
+OLD = r"^(&(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + r"))(.*)$"
+#: A lookup reads the map from its start, so the frequent ones come first.  A no-break space is a space, as in SPACES.
+FREQUENT = ("amp;", "copy;", "middot;", "lt;", "gt;", "quot;", "nbsp;", "apos;", "mdash;", "ndash;", "hellip;", "rsquo;", "lsquo;", "rdquo;", "ldquo;", "laquo;", "raquo;", "bull;", "reg;", "trade;", "eacute;", "uuml;", "ouml;", "auml;")
+NAMES = {f"&{n}": html5[n].replace("\xa0", " ") for n in (*FREQUENT, *sorted(html5.keys() - set(FREQUENT), key=lambda n: (len(n), n)))}
+#: Numbers that HTML reads otherwise: those of windows-1252, and those that are no characters.
+NUMBERS = {n: bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)} | {0: "\ufffd", 0xA0: " "}
+
+
+def _map(pairs: dict) -> Column:
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in pairs.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+def _number(ref: Column) -> Column:
+    digits = F.ltrim(F.regexp_extract(ref, r"^&#[xX]?([0-9A-Fa-f]+)", 1), F.lit("0"))
+    n = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+    n = F.when(F.length(digits) == 0, 0).when(F.length(digits) > 7, 0x110000).otherwise(n.cast("int"))
+    none = (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    return F.when(none, "\ufffd").otherwise(F.coalesce(F.try_element_at(_map(NUMBERS), n.cast("string")), F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")))
+
+
+def _after_sign(part: Column) -> Column:
+    """What stood after an & (up to the next one) with its reference decoded; one that HTML doesn't know stays."""
+    name = F.substring_index(part, ";", 1)
+    plain = F.concat(F.try_element_at(_map(NAMES), F.concat(F.lit("&"), name, F.lit(";"))), F.substring(part, F.length(name) + 2, F.length(part)))
+    ref = F.regexp_extract(F.concat(F.lit("&"), part), f"^{REFERENCE}", 0)
+    old = F.concat(F.try_element_at(_map(NAMES), F.regexp_extract(ref, OLD, 1)), F.regexp_extract(ref, OLD, 2))
+    sign = F.when(F.startswith(ref, F.lit("&#")), _number(ref)).otherwise(F.coalesce(old, ref))
+    other = F.when(ref == "", F.concat(F.lit("&"), part)).otherwise(F.concat(sign, F.substring(part, F.length(ref), F.length(part))))
+    return F.coalesce(plain, other)
+
+
+def unescaped(text: Column) -> Column:
+    """The text with its character references decoded in one pass, so what a decoded one makes is not read again."""
+    return F.array_join(F.transform(F.split(text, "&", -1), lambda part, i: F.when(i == 0, part).otherwise(_after_sign(part))), "")
+
+
 def text_of_html(html: Column) -> Column:
     for pattern, replacement in (HIDDEN, BLOCKS, TAGS):
         html = F.regexp_replace(html, pattern, replacement)
-    for entity, sign in ENTITIES:
-        html = F.replace(html, F.lit(entity), F.lit(sign))
+    html = unescaped(html)
     for pattern, replacement in (SPACES, LINES):
         html = F.regexp_replace(html, pattern, replacement)
     return F.trim(html, F.lit(" \n"))

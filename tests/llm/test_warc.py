@@ -59,3 +59,19 @@ def test_odd_responses(spark):
     assert by[3, "conversion"][1] == "  <b>as is</b>" and "source-status: HTTP/1.1 404 Not Found" in by[3, "metadata"][1]
     assert warc.digests(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert warc.digests(spark.createDataFrame([(None, None, None)], "page_id long, url string, html string")).count() == 2
+
+
+def test_all_references(spark):
+    from html import unescape
+    from html.entities import html5
+
+    bits = [f"&{n}" for n in html5] + ["&copycat;", "&notit;", "&unknown;", "&", "&;", "a & b", "&amp;lt;", "&#38;lt;", "&lt&semi;", "&#169;", "&#xA9;", "&#XA9", "&#128;", "&#0;", "&#x1F600;", "&#xD800;", "&#1114112;", "&#99999999999;", "&#39;", "&#0000065;", "😀&copy;&middot;é"]
+    got = spark.createDataFrame(list(enumerate(bits)), "i int, t string").select("i", warc.unescaped(F.col("t")).alias("t")).collect()
+    assert {bits[r.i]: r.t for r in got} == {t: unescape(t).replace("\xa0", " ") for t in bits}
+    line = " ".join(bits)
+    assert spark.createDataFrame([(line,)], "t string").select(warc.unescaped(F.col("t"))).first()[0] == unescape(line).replace("\xa0", " ")
+
+
+def test_conversions_hold_no_references(spark, sf_dir):
+    rows = warc.derive(warc.responses_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))).filter("record_type = 'conversion'").collect()
+    assert rows and not any("&copy;" in r.block or "&middot;" in r.block for r in rows) and any("©" in r.block for r in rows)
