@@ -86,3 +86,18 @@ def test_query_rows(spark, sf_dir):
     assert clean.columns == docs.columns and clean.count() == docs.count()
     assert all(not brute_base(r.text) or "[SECRET]" in r.text for r in clean.collect())
     assert [r.text for r in S.redact(documents(spark, [(1, None)])).collect()] == [None]
+
+
+def test_recall_by_alphabet():
+    rng = random.Random(12)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = {"lower": lower + "0123456789", "upper": upper + "0123456789", "base32": upper + "234567", "alnum": lower + upper + "0123456789", "base64": lower + upper + "0123456789+/"}
+    for name, signs in alphabets.items():
+        for size in (20, 24, 32, 40):
+            tokens = ["".join(rng.choices(signs, k=size)) for _ in range(1000)]
+            found = sum(any(a <= 4 and b >= 4 + size for a, b, _ in S.entropy_spans(f"see {t} there")) for t in tokens)
+            assert found >= 960, (name, size, found)
+
+
+def test_joined_words_are_let_through():
+    assert S.entropy_spans("Annual-Report-2024-Summary path/to/Folder/2023/December-11 thequickbrownfoxjumpsover AAAAAAAAAAAAAAAAAAAAA1") == []
