@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +26,28 @@ def title_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
+def _pairs_of_letters(text: str) -> Counter:
+    return Counter(zip(text, text[1:], strict=False))
+
+
+@F.pandas_udf(T.DoubleType())
+def text_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """title_ratio for long texts: difflib's default passes over frequent letters from 200 on, which are nearly all.  0 where LINK_RATIO is out of reach.
+
+    With m matched letters of la + lb there are at most la + lb - 2m + 1 matched runs, so at least m - (la + lb - 2m + 1) pairs of neighbours are in common.
+    """
+    known = lru_cache(4096)(_pairs_of_letters)
+
+    def ratio(a: str, b: str) -> float:
+        both = len(a) + len(b)
+        m = LINK_RATIO * both / 2
+        if (known(a) & known(b)).total() < m - (both - 2 * m + 1) - 1e-6:
+            return 0.0
+        return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+    return pd.Series([None if a is None or b is None else ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
 def ratio_bound(left, right):
     """No ratio exceeds 2 * shorter / (shorter + longer): a native test that spares most of the Python calls."""
     a, b = F.length(left), F.length(right)
@@ -36,7 +60,7 @@ def letters_bound(left, right):
     return F.try_divide(2 * sum(parts[1:], parts[0]), F.length(left) + F.length(right))
 
 
-def candidate_pairs(docs: DataFrame, entries: DataFrame) -> DataFrame:
+def candidate_pairs(docs: DataFrame, entries: DataFrame, *, ratio=title_ratio) -> DataFrame:
     """Scored pairs (doc_id, entry_id, ord, method, score).  docs: doc_id, doi_key, title_key, year; entries: entry_id, ord, doi_key, title_key, year.
 
     Equal DOIs link at 1.0.  Else titles link from a ratio of 0.92 where the years don't differ.  Titles meet by blocks that no
@@ -48,7 +72,7 @@ def candidate_pairs(docs: DataFrame, entries: DataFrame) -> DataFrame:
     right = entries.filter("title_key <> ''").select("entry_id", "ord", F.col("title_key").alias("entry_title"), F.col("year").alias("entry_year"))
     met = blocked(left, right, "doc_title", "entry_title", ["doc_id", "entry_id"], LINK_RATIO)
     met = met.filter((F.col("doc_year").isNull()) | (F.col("entry_year").isNull()) | (F.col("doc_year") == F.col("entry_year")))
-    scored = met.withColumn("score", title_ratio("doc_title", "entry_title")).filter(F.col("score") >= LINK_RATIO)
+    scored = met.withColumn("score", ratio("doc_title", "entry_title")).filter(F.col("score") >= LINK_RATIO)
     return doi.unionByName(scored.select("doc_id", "entry_id", "ord", F.lit("title").alias("method"), "score"))
 
 
@@ -60,6 +84,9 @@ def blocked(left: DataFrame, right: DataFrame, a: str, b: str, keys: list[str],
     the right text offers all its substrings of the parts' lengths within the shift.  Short texts have few parts, so k is capped at the text's length.
     """
     la = F.length(a)
+    # Texts that are too long or short for every right one leave before they are cut into parts.
+    ends = right.agg(F.min(F.length(b)).alias("shortest"), F.max(F.length(b)).alias("longest"))
+    left = left.join(F.broadcast(ends), (la >= F.floor(F.col("shortest") * ratio / (2 - ratio))) & (la <= F.ceil(F.col("longest") * (2 - ratio) / ratio))).drop("shortest", "longest")
     slack = F.ceil((1 - ratio) * 2 * la / ratio)  # of the longest text that may match
     parts = F.greatest(F.lit(1), F.least(la, slack + 1)).cast("int")
     lefts = left.withColumn("parts", parts).withColumn("slack", slack.cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -326,11 +326,13 @@ def doi_link(spark, sf_dir):
 
 @query()
 def fuzzy_link(spark, sf_dir):
-    """Benchmark items against edited forms of themselves by titles; each finds its own."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring_index(title_key("text"), " ", 12).alias("t"))
-    docs = items.select(F.col("item_id").alias("doc_id"), F.lit("").alias("doi_key"), F.regexp_replace("t", "e([a-z]) ", "$1 ").alias("title_key"), F.lit(None).cast("string").alias("year"))
+    """Documents, and edited forms of the benchmark items, against the items by their whole texts; each item finds its own."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", title_key("text").alias("t"))
+    side = lambda rows, source, key, title: rows.select(F.struct(F.lit(source).alias("source"), F.col(key).alias("id")).alias("doc_id"), F.lit("").alias("doi_key"), title.alias("title_key"), F.lit(None).cast("string").alias("year"))
+    docs = side(table(spark, sf_dir, "documents"), "documents", "doc_id", title_key("text")).unionByName(side(items, "benchmark", "item_id", F.regexp_replace("t", "e([a-z]) ", "$1 ")))
     entries = items.select(F.col("item_id").alias("entry_id"), F.col("item_id").alias("ord"), F.lit("").alias("doi_key"), F.col("t").alias("title_key"), F.lit("2020").alias("year"))
-    return link.best_match(link.candidate_pairs(docs, entries)).select("doc_id", "entry_id", "method", F.round("score", 6).alias("score"))
+    best = link.best_match(link.candidate_pairs(docs, entries, ratio=link.text_ratio))
+    return best.select("doc_id.source", F.col("doc_id.id").alias("doc_id"), "entry_id", "method", F.round("score", 6).alias("score"))
 
 
 # Review.

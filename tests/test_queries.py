@@ -38,6 +38,20 @@ def test_fuzzy_link_finds_each_item(spark, sf_dir):
     assert got and sum(r.doc_id == r.entry_id for r in got) >= 0.9 * len(got)
 
 
+def test_fuzzy_link_reads_documents_and_whole_texts(spark, sf_dir, tmp_path):
+    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").collect()]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    half = " ".join(items[0].split()[:12])
+    new = [(-1, items[0]), (-2, max(items, key=len).replace("e", "", 3)), (-3, f"{half} and then something else that no item of the benchmark has")]
+    made = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in new], docs.schema)
+    docs.unionByName(made).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.source, r.doc_id): r for r in QUERIES["fuzzy_link"](spark, str(tmp_path)).collect()}
+    assert got["documents", -1].entry_id == 0 and got["documents", -1].score == 1.0
+    assert items[got["documents", -2].entry_id] == max(items, key=len) and ("documents", -3) not in got
+    assert {i for s, i in got if s == "benchmark"} == set(range(len(items)))
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["o_orderkey", "reference"] and df.count() > 0
