@@ -318,7 +318,7 @@ WITH d AS (SELECT doc_id, '10.1/' || CAST(doc_id % 70 AS VARCHAR) AS doi FROM do
 SELECT d.doc_id, e.item_id, CASE WHEN e.item_id IS NULL THEN 'none' ELSE 'doi' END AS method FROM d LEFT JOIN e ON d.doi = e.doi""")
 def doi_link(spark, sf_dir):
     """Documents linked with benchmark items by DOI, and those left over."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("10.1/"), (F.col("doc_id") % 70).cast("string")).alias("doi_key"), F.lit("").alias("title_key"), F.lit(None).cast("string").alias("year"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("10.1/"), (F.col("doc_id") % 70).cast("string")).alias("doi_key"), F.lit("").alias("title_key"), F.lit(None).cast("string").alias("year"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry_id"), F.col("item_id").alias("ord"), F.concat(F.lit("10.1/"), F.col("item_id").cast("string")).alias("doi_key"), F.lit("").alias("title_key"), F.lit(None).cast("string").alias("year"))
     best = link.best_match(link.candidate_pairs(docs, items)).select("doc_id", F.col("entry_id").alias("item_id"), "method")
     return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", "item_id", F.coalesce("method", F.lit("none")).alias("method"))

@@ -52,6 +52,14 @@ def test_fuzzy_link_reads_documents_and_whole_texts(spark, sf_dir, tmp_path):
     assert {i for s, i in got if s == "benchmark"} == set(range(len(items)))
 
 
+def test_doi_link_has_every_document(spark, sf_dir, db):
+    got = {r.doc_id: r for r in QUERIES["doi_link"](spark, sf_dir).collect()}
+    assert sorted(got) == [r[0] for r in db.execute("SELECT doc_id FROM documents ORDER BY 1").fetchall()]
+    items = {r[0] for r in db.execute("SELECT item_id FROM benchmark").fetchall()}
+    assert all((r.item_id, r.method) == ((k % 70, "doi") if k % 70 in items else (None, "none")) for k, r in got.items())
+    assert all(tuple(got[r[0]]) == r for r in db.execute(ORACLES["doi_link"]).fetchall())
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["o_orderkey", "reference"] and df.count() > 0
