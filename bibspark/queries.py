@@ -172,22 +172,23 @@ def page_extract(spark, sf_dir):
 SELECT doc_id, doc_id % 2 = 0 AS has_doi, doc_id % 3 = 0 AS has_abstract, doc_id % 5 = 0 AS has_references, doc_id % 7 = 0 AS has_periodical_marker,
   CASE WHEN (doc_id % 2 = 0 AND doc_id % 3 = 0 AND (doc_id % 5 = 0 OR doc_id % 7 = 0)) OR (doc_id % 3 = 0 AND doc_id % 5 = 0 AND doc_id % 7 = 0) THEN 'journal_article' ELSE 'unknown' END AS document_type FROM documents""")
 def line_signals(spark, sf_dir):
-    """Signals of an article in front matter put before each document."""
+    """Signals of an article in each document's whole text, with front matter put before it."""
     k = F.col("doc_id")
     add = lambda n, s: F.when(k % n == 0, F.lit(s)).otherwise(F.lit(""))
-    front = F.concat(F.lit("Heading\n"), add(2, "10.1234/abc-5\n"), add(3, "Resumo\n"), add(5, "Referências\n"), add(7, "ISSN 1234-5678\n"), F.lit("."))
+    front = F.concat(F.lit("Heading\n"), add(2, "10.1234/abc-5\n"), add(3, "Resumo\n"), add(5, "Referências\n"), add(7, "ISSN 1234-5678\n"), F.coalesce("text", F.lit("")))
     rows = table(spark, sf_dir, "documents").select("doc_id", front.alias("front")).withColumn("s", extract.article_signals(F.col("front"), F.col("front")))
-    kind = extract.document_type(F.lower("front"), F.lower("front"), F.col("s"), [])
-    return rows.select("doc_id", "s.has_doi", "s.has_abstract", "s.has_references", "s.has_periodical_marker", kind.alias("document_type"))
+    kind = extract.document_type(F.lower("front"), match_text("front"), F.col("s"), [])
+    return rows.select("doc_id", *[f"s.{name}" for name in extract.SIGNALS], kind.alias("document_type"))
 
 
 @query("""
 SELECT doc_id, CASE WHEN p THEN 'browser_print' WHEN native = 0 THEN 'scanned' WHEN doc_id % 4 = 0 THEN 'institutional_repository' ELSE 'publisher_original' END AS variant
 FROM (SELECT doc_id, doc_id % 5 = 0 AS p, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS native FROM documents)""")
 def variant_kinds(spark, sf_dir):
-    k = F.col("doc_id")
+    """Kinds of variant from properties by number, and from each document's own text: its first line the title, the whole the front."""
+    k, whole = F.col("doc_id"), F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents")
-    v = extract.variant(F.when(k % 5 == 0, "Microsoft: Print To PDF").otherwise("tex"), F.lit("x"), F.lit("t"), F.when(k % 3 == 0, 0).otherwise(1), F.lit(2), F.when(k % 4 == 0, "thesis").otherwise("unknown"), F.lit("Universidade Exemplo"), repository="universidade exemplo")
+    v = extract.variant(F.when(k % 5 == 0, "Microsoft: Print To PDF").otherwise("tex"), F.lit("x"), F.substring_index(whole, "\n", 1), F.when(k % 3 == 0, 0).otherwise(1), F.lit(2), F.when(k % 4 == 0, "thesis").otherwise("unknown"), F.concat(F.lit("Universidade Exemplo\n"), whole), repository="universidade exemplo")
     return docs.select("doc_id", v.alias("variant"))
 
 

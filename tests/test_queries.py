@@ -60,6 +60,25 @@ def test_doi_link_has_every_document(spark, sf_dir, db):
     assert all(tuple(got[r[0]]) == r for r in db.execute(ORACLES["doi_link"]).fetchall())
 
 
+def test_signals_and_variants_read_the_text(spark, tmp_path):
+    long = "word " * 5000
+    texts = [
+        (1, "plain words", set(), "publisher_original"),
+        (11, long + "\nKeywords: a\nResearch article\nreceived 1 May, accepted 2 May\nISSN 1\nworkshop\nISBN 1\nReferências\nAbstract\n10.1234/x", None, "publisher_original"),
+        (13, "Brasil - notas\n" + long, set(), "browser_print"),
+        (17, "Dissertação apresentada ao programa", set(), "publisher_original"),
+        (19, None, set(), "publisher_original"),
+    ]
+    spark.createDataFrame([(i, t) for i, t, _, _ in texts], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["line_signals"](spark, str(tmp_path)).collect()}
+    kinds = {r.doc_id: r.variant for r in QUERIES["variant_kinds"](spark, str(tmp_path)).collect()}
+    names = [c for c in got[1].asDict() if c.startswith("has_")]
+    assert len(names) == 9 and all(got[11][n] for n in names)
+    for i, _, signs, kind in texts:
+        assert kinds[i] == kind and (signs is None or {n for n in names if got[i][n]} == signs)
+    assert got[17].document_type == "dissertation" and got[1].document_type == "unknown"
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["o_orderkey", "reference"] and df.count() > 0
