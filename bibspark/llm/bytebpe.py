@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import text_or_empty
+from bibspark.llm.common import text_batches, text_or_empty
 
 # Classes of code points.
 SEP, SPACE, BLANK, OTHER, APOS, DIGIT, LETTER, LONE, R, V, L, E = range(12)
@@ -279,20 +279,6 @@ def encoder(path: str) -> ByteBpe:
     return ByteBpe.from_tiktoken(path)
 
 
-def text_batches(table_batches, column: str = "text", most: int = 1 << 20):
-    """Cut record batches so that the texts of one hold about `most` characters (one longer text stands alone)."""
-    for batch in table_batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
-        first = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > most:
-                yield batch.slice(first, i - first), texts[first:i]
-                first, size = i, 0
-            size += len(t)
-        if first < len(texts):
-            yield batch.slice(first), texts[first:]
-
-
 def encode_decode(docs: DataFrame, ranks_path: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encode and decode every whole text.
 

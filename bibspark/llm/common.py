@@ -45,6 +45,25 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_batches(table_batches, column: str | tuple[str, str] = "text", most: int = 1 << 20, nulls: bool = False):
+    """(batch, texts) with record batches cut so that the texts of one hold about `most` characters (one longer text stands alone).
+
+    column may name a field of a struct column.  Null texts are empty ones, or None where nulls are wanted.
+    """
+    for batch in table_batches:
+        values = batch.column(column) if isinstance(column, str) else batch.column(column[0]).field(column[1])
+        texts = values.to_pylist() if nulls else [t or "" for t in values.to_pylist()]
+        first = size = 0
+        for i, t in enumerate(texts):
+            n = len(t) if t else 0
+            if size and size + n > most:
+                yield batch.slice(first, i - first), texts[first:i]
+                first, size = i, 0
+            size += n
+        if first < len(texts):
+            yield batch.slice(first), texts[first:]
+
+
 def binary_column(values: list) -> pa.Array:
     return pa.array(values, pa.binary())
 

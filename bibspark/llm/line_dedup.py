@@ -4,7 +4,8 @@ Every window is hashed to 128 bits where its document is read.  The first occurr
 position, owns it; a window that isn't its hash's owner is a later occurrence, and the lines that later
 occurrences cover go (their positions are merged, so overlaps count once).  What travels back to a document is
 which of its windows own their hash: one row for each different hash, so a window that fills a third of the
-table weighs as much as a rare one, and no join runs on hashes.
+table weighs as much as a rare one, and no join runs on hashes.  A document all of whose windows are owned, the usual
+case, is left as it stands without hashing its lines again.
 """
 
 from __future__ import annotations
@@ -12,39 +13,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import text_or_empty
-
 LINES = 3
-LOW, HIGH = 0xFFFFFFFF, "-4294967296L"
-
+LOW = 0xFFFFFFFF
+INSIDE = ["owner_key", "owner_text", "text_hash", "owned", "found"]
 
-def _hashed(lines: int) -> str:
-    """Array of (mark, h1, h2) for the windows of a row's lines; a mark is the position in its low and part of the hash in its high 32 bits."""
-    parts = ", ".join(f"lines[i + {k}]" for k in range(lines))
-    return f"transform(sequence(0, n_lines - {lines}), i -> struct((xxhash64({parts}) & {HIGH}) | i AS mark, xxhash64({parts}) AS h1, xxhash64(7, {parts}) AS h2))"
 
+def _windows(lines: str, size: int, made: str) -> str:
+    """Array with `made` for each window of the array `lines`, in which i is its position and {h1}, {h2} are its hash's halves."""
+    parts = ", ".join(f"{lines}[i + {k}]" for k in range(size))
+    each = made.format(h1=f"xxhash64({parts})", h2=f"xxhash64(7, {parts})", mark=f"(xxhash64({parts}) & -4294967296L) | i")
+    return f"transform(sequence(0, size({lines}) - {size}), i -> {each})"
 
-def later_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
-    """docs with the columns lines (array), n_lines and covered (array of 0-based positions that later occurrences cover).
 
-    Lines end at a line feed and are compared as they stand.  A document of fewer than `lines` lines has no
-    window and keeps all; a null text has no lines.  Documents are in the order of key, null first; at one
-    position of rows with equal keys no row is later than another, so repeated rows get the same result.
-    """
-    keyed = docs.drop("lines", "n_lines", "covered")
-    cut = F.struct(F.coalesce(F.split(F.col(text), "\n", -1), F.expr("cast(array() as array<string>)")).alias("lines"))
-    rows = keyed.select(F.col(key).alias("key"), _once(cut)).withColumn("n_lines", F.size("lines"))
-    windows = rows.filter(F.col("n_lines") >= lines).select("key", F.inline(F.expr(_hashed(lines))))  # only hashes leave the row that holds the lines
-    first = F.min(F.struct("key", F.col("mark").bitwiseAND(F.lit(LOW)).alias("pos"), "mark"))
-    owners = windows.groupBy("h1", "h2").agg(first.alias("own")).select("own.key", "own.mark")
-    owned = owners.groupBy("key").agg(F.collect_set("mark").alias("owned")).select(F.col("key").alias("owner_key"), "owned")
-    out = keyed.join(owned, F.col(key).eqNullSafe(F.col("owner_key")), "left").drop("owner_key")
-    out = out.select("*", _once(cut)).withColumn("n_lines", F.size("lines"))
-    none = "cast(array() as array<bigint>)"
-    later = F.expr(f"if(n_lines >= {lines}, array_except(transform({_hashed(lines)}, x -> x.mark), coalesce(owned, {none})), {none})")
-    starts = F.transform(later, lambda x: x.bitwiseAND(F.lit(LOW)).cast("int"))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + (lines - 1))))))
-    return out.select("*", _once(F.struct(covered.alias("covered")))).drop("owned")
+def _of_lines(text: str, made: str) -> str:
+    """`made` with l for the text's lines, which are cut once."""
+    return f"transform(array(split({text}, '\\n', -1)), l -> {made})[0]"
 
 
 def _once(values: Column) -> Column:
@@ -53,11 +36,32 @@ def _once(values: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
-    """docs with n_lines, n_removed and kept_text (the lines that stay, joined by line feeds; null where text is null)."""
-    found = later_lines(docs.drop("n_removed", "kept_text"), key=key, text=text, lines=lines)
-    kept = F.expr("array_join(transform(array_except(sequence(0, n_lines - 1), covered), i -> lines[i]), '\\n')")
-    left = F.when(F.col(text).isNull(), F.lit(None).cast("string")).when(F.size("covered") == 0, F.col(text)).otherwise(kept)
-    return found.select("*", _once(F.struct(F.size("covered").alias("n_removed"), left.alias("kept_text")))).drop("lines", "covered")
+    """docs with n_lines, n_removed and kept_text (the lines that stay, joined by line feeds; null where text is null).
+
+    Lines end at a line feed and are compared as they stand.  A document of fewer than `lines` lines has no
+    window and keeps all; a null text has no lines.  Documents are in the order of key, null first; of rows with equal keys
+    the text of smaller hash (xxhash64) is earlier, and rows equal in both are one document with one result.
+    Documents meet their owned windows by key and text, so a null or repeated key gathers nothing.
+    """
+    docs = docs.drop("n_lines", "n_removed", "kept_text", *INSIDE)
+    quoted = f"`{text}`"
+    own = docs.columns
+    rows = docs.withColumn("text_hash", F.xxhash64(text))
+    hashed = _of_lines(quoted, f"if(size(l) < {lines}, null, {_windows('l', lines, 'struct({mark} AS mark, {h1} AS h1, {h2} AS h2)')})")
+    windows = rows.select(F.col(key).alias("key"), "text_hash", F.inline(F.expr(hashed)))  # only hashes leave the row that holds the lines
+    first = F.min(F.struct("key", "text_hash", F.col("mark").bitwiseAND(F.lit(LOW)).alias("pos"), "mark"))
+    owners = windows.groupBy("h1", "h2").agg(first.alias("own")).select("own.key", "own.text_hash", "own.mark")
+    owned = owners.groupBy("key", "text_hash").agg(F.collect_list("mark").alias("owned")).select(F.col("key").alias("owner_key"), F.col("text_hash").alias("owner_text"), "owned")
+    # The side of numbers is hashed: texts stream through the join unsorted.
+    met = rows.join(owned.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("owner_key")) & F.col("text_hash").eqNullSafe(F.col("owner_text")), "left")
+    later = f"transform(array_except({_windows('l', lines, '{mark}')}, coalesce(owned, cast(array() as array<bigint>))), m -> cast(m & {LOW} AS int))"
+    covered = f"array_distinct(flatten(transform({later}, p -> sequence(p, p + {lines - 1}))))"
+    kept = "array_join(transform(array_except(sequence(0, size(l) - 1), c), i -> l[i]), '\\n')"
+    removed = f"transform(array({covered}), c -> named_struct('n_lines', size(l), 'n_removed', size(c), 'kept_text', {kept}))[0]"
+    whole = f"size(l) < {lines} OR coalesce(size(owned), 0) = size(l) - {lines - 1}"
+    found = _of_lines(quoted, f"if({whole}, named_struct('n_lines', size(l), 'n_removed', 0, 'kept_text', {quoted}), {removed})")
+    none = f"named_struct('n_lines', 0, 'n_removed', 0, 'kept_text', {quoted})"
+    return met.select(*own, _once(F.expr(f"if({quoted} IS NULL, {none}, {found})")))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.bytebpe import text_batches
-from bibspark.llm.common import text_or_empty
+from bibspark.llm.common import text_batches, text_or_empty
 
 HEADER = struct.Struct("<4sBBqIIIB")
 IDENTITY = struct.Struct("<8sBBIQ")  # magic, version, number of streams, sample rate, samples in all

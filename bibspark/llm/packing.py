@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.bytebpe import text_batches
-from bibspark.llm.common import checkpointed, text_or_empty
+from bibspark.llm.common import checkpointed, text_batches, text_or_empty
 
 NODE_ITEMS = 16_384
 FAN_IN = 16

@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.bytebpe import text_batches
-from bibspark.llm.common import text_or_empty
+from bibspark.llm.common import text_batches, text_or_empty
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the longest run from the leftmost start: shorter runs fail with every start inside them

@@ -1,11 +1,18 @@
 import random
 
+import xxhash
 from bibspark.llm import line_dedup
 from helpers import ODD, documents
 
 
+def place(k, t):
+    """Order of documents: by key, null first; texts of one key by their hash."""
+    h = xxhash.xxh64_intdigest((t or "").encode(), seed=42)
+    return (float("-inf") if k is None else k, h - 2**64 if h >= 2**63 else h)
+
+
 def brute(rows, size=3):
-    docs = [(float("-inf") if k is None else k, k, None if t is None else t.split("\n")) for k, t in rows]
+    docs = [(place(k, t), k, None if t is None else t.split("\n")) for k, t in rows]
     first = {}
     for k, _, lines in docs:
         for a in range(len(lines or ()) - size + 1):
@@ -42,6 +49,21 @@ def test_odd_rows(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_hot_keys(spark):
+    """Many rows without a key or with one key: they are documents by their texts."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 7]), "\n".join(rng.choice(["a", "b", "c", f"u{i}"]) for _ in range(8))) for i in range(120)]
+    compare(spark, [*rows, *rows[:40], *[(None, "a\nb\nc")] * 30])
+
+
+def test_long_text(spark):
+    """One text of some tens of MB, most of it in repeated lines, and one line of many MB."""
+    long = "\n".join(f"line {i % 5000} of the long text, with some words that make it longer" for i in range(300_000))
+    rows = [(1, long), (2, "x" * 12_000_000 + "\nb\nc"), (3, "x" * 12_000_000 + "\nb\nc\nd")]
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(documents(spark, rows)).select("doc_id", "n_lines", "n_removed").collect()}
+    assert got == {1: (300_000, 295_000), 2: (3, 0), 3: (4, 3)}
+
+
 def test_overlap_counts_once_and_first_stays(spark):
     compare(spark, [(1, "x\ny\nz\nw"), (2, "q\nx\ny\nz\nw\nr"), (3, "a\na\na\na\na")])
     rows = line_dedup.dedup_lines(documents(spark, [(1, "x\ny\nz\nw"), (2, "q\nx\ny\nz\nw\nr")])).collect()
