@@ -1,3 +1,7 @@
+import math
+import re
+import zlib
+
 import numpy as np
 import pytest
 from bibspark.llm import quality
@@ -44,6 +48,93 @@ def test_likelihood_gradient():
         assert loss(w + rng.normal(0, 0.05, 6), np.array(model.thresholds) + rng.normal(0, 0.05, 2)) >= best - 1e-4
 
 
+def sample(rng, counts, slots=400, size=12):
+    """Rows of grades with so many documents each; a few slots speak for each grade, most for none."""
+    grades = rng.permutation(np.repeat(np.arange(len(counts)), counts))
+    rows = np.repeat(np.arange(len(grades)), size)
+    cols = rng.integers(10, slots, len(rows))
+    marked = rng.random(len(grades)) < 0.9
+    cols[::size][marked] = grades[marked]
+    cols[1::size][marked] = 3 + grades[marked] // 2
+    return rows, cols, grades
+
+
+@pytest.mark.parametrize("middle", [0, 1, 2, 3, 10, 100])
+def test_rare_absent_and_single_middle_grades(middle):
+    for seed in range(3):
+        rows, cols, grades = sample(np.random.default_rng(seed), (3000, middle, 7000))
+        model = quality.fit_arrays(rows, cols, grades)
+        assert max(map(abs, model.thresholds)) < 30 and model.thresholds[0] <= model.thresholds[1]
+        assert max(map(abs, model.weights.values())) < 30
+        score = np.array([model.score(set(cols[rows == i].tolist())) for i in range(len(grades))])
+        keep = model.tails(score)[:, 1] >= 0.5
+        assert keep[grades == 2].mean() > 0.9 and keep[grades == 0].mean() < 0.2
+
+
+@pytest.mark.parametrize("toxic", [0, 1, 2, 4, 8, 42])
+def test_few_toxic_labels_keep_the_good(spark, toxic):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
+    few = labels[(labels.quality == 1) & (labels.toxic == 1)].sort_values("doc_id")
+    some = spark.createDataFrame(labels.drop(few.index[toxic:]))
+    rows = quality.rated(docs, quality.fit(docs, some)).join(some, "doc_id").collect()
+    assert np.mean([r.keep for r in rows if r.quality == 1 and not r.toxic]) > 0.95
+    assert np.mean([r.keep for r in rows if r.quality == 0]) < 0.3
+
+
+def test_missing_ends():
+    rng = np.random.default_rng(0)
+    rows, cols, grades = sample(rng, (400, 400))
+    low, high = quality.fit_arrays(rows, cols, grades), quality.fit_arrays(rows, cols, grades + 1)
+    assert (low.tails(np.linspace(-9, 9, 5))[:, 1] < 1e-9).all() and (high.tails(np.linspace(-9, 9, 5))[:, 0] > 1 - 1e-9).all()
+    assert low.thresholds[0] == pytest.approx(high.thresholds[1])
+
+
+def plain_names(text):
+    """The features of a text, worked out from their description and not word by word."""
+    words, out = text.split(), set()
+    if not words:
+        return out
+    distinct = sorted(set(words))
+    for w in distinct:
+        bare = w.lower().strip(".,;:!?\"'()[]{}*$%&#")
+        end = re.search(r"[^\w\s]+$", w)
+        out |= {bare} | ({"\0start=" + bare[:4]} if len(bare) > 4 else set()) | ({"\0tail=" + end.group()[:4]} if end else set())
+    share = {
+        "upper": [w.isupper() for w in distinct],
+        "tailed": [not w[-1].isalnum() for w in distinct],
+        "twice": [len(w) > 1 and not w[-1].isalnum() and not w[-2].isalnum() for w in distinct],
+        "digits": [any(c.isdigit() for c in w) for w in distinct],
+        "signs": [len(w) < 4 and not any(c.isalnum() for c in w) for w in distinct],
+    }
+    values = {k: sum(v) / len(distinct) for k, v in share.items()} | {"repeat": 1 - len(distinct) / len(words)}
+    out |= {f"\0{k}>{i}" for k, v in values.items() for i in range(1, 11) if 10 * v >= i}
+    out |= {f"\0density>{i}" for i in range(1, 9) if len(words) >= 20 and len(words) / len(distinct) >= 2**i / 2}
+    out |= {f"\0words>{i}" for i in range(1, 20) if len(words) >= 2**i}
+    out |= {f"\0length>{i}" for i in range(1, 16) if sum(map(len, distinct)) / len(distinct) >= i}
+    return out | ({"\0bars"} if "|" in distinct else set())
+
+
+def test_scores_worked_out_apart(spark, sf_dir):
+    """Every row's columns from the weights, the thresholds and the features' description."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert model.weights
+    for r in quality.rated(docs, model).collect():
+        slots = {zlib.crc32(x.encode()) % 2**18 for x in plain_names(r.text or "")}
+        score = sum(model.weights.get(s, 0) for s in slots)
+        tails = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert r.score == pytest.approx(score, abs=1e-9) and r.expected_grade == pytest.approx(sum(tails), abs=1e-9)
+        assert r.tail_probability == pytest.approx(tails[1], abs=1e-9) and r.keep == (r.tail_probability >= 0.5)
+
+
+def test_the_model_does_not_depend_on_partitions_or_repeats(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels)
+    assert quality.fit(docs.repartition(7).unionByName(docs), labels.repartition(3)) == model
+
+
 def test_one_grade_or_none():
     model = quality.fit_arrays(np.array([0, 1]), np.array([3, 4]), np.array([2, 2]))
     assert (model.tails(np.zeros(1))[:, 1] > 0.99).all()
