@@ -52,6 +52,39 @@ def test_word_hashes():
     assert len(Words([b"", b" "])) == 0
 
 
+def thue_morse(n, zero, one):
+    return [one if bin(i).count("1") % 2 else zero for i in range(n)]
+
+
+def test_regular_words_and_runs_differ():
+    """Strings that make polynomial hashes modulo powers of two collide."""
+    words = ["".join(thue_morse(n, *letters)) for n in (64, 512, 1024, 4096) for letters in ("ab", "ba")]
+    for which in (0, 1):
+        assert len(set(Words([" ".join(words).encode()]).hashes[which].tolist())) == len(words)
+        runs = [Words([" ".join(thue_morse(1024, *pair)).encode()]).runs(1024, which)[0] for pair in (("a", "b"), ("b", "a"))]
+        assert runs[0] != runs[1]
+    ends = Words([b"x" * n + b" " + b"x" * (n - 1) + b"\x00" for n in range(1, 140)])
+    assert len(set(ends.hash.tolist())) == len(ends)
+
+
+def test_runs_are_those_of_their_words():
+    rng = random.Random(2)
+    words = [rng.choice(["a", "b", "c"]) for _ in range(400)]
+    got = Words([" ".join(words).encode()])
+    for size in (1, 2, 3, 5, 7, 8, 50):
+        for which in (0, 1):
+            seen = {}
+            for i, h in enumerate(got.runs(size, which).tolist()):
+                assert seen.setdefault(tuple(words[i : i + size]), h) == h
+            assert len(set(seen.values())) == len(seen)
+
+
+def test_no_word_goes_that_no_other_document_has(spark):
+    a, b = ("".join(thue_morse(1024, *letters)) for letters in ("ab", "ba"))
+    filler = [f"f{i}" for i in range(59)]
+    compare(spark, [(1, " ".join([*filler[:30], a, *filler[30:]])), (2, " ".join([*filler[:30], b, *filler[30:]]))])
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_random_passages(spark, seed):
     """Copied passages at random places, within and over groups, with few different words so that chance repeats abound."""
