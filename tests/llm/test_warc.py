@@ -1,5 +1,7 @@
 import hashlib
 import re
+import time
+from html import unescape
 
 from bibspark.llm import warc
 from pyspark.sql import functions as F
@@ -32,8 +34,11 @@ def test_records_link_to_their_source(spark, sf_dir):
             named = dict(x.split(": ", 1) for x in block.strip().split("\r\n"))
             assert named["source-status"] == "HTTP/1.1 200 OK"
             assert named["source-header-Content-Length"] == str(len(source.payload.encode()))
-            assert named["outlinks"] == str(len(re.findall(r"(?i)<a\s[^>]*href\s*=", source.payload)))
+            links = [unescape(x) for x in re.findall(r"(?i)<a\s[^>]*href\s*=\s*[\"']([^\"']*)", source.payload)]
+            assert named["outlinks"] == str(len(links)) and [x[9:] for x in block.split("\r\n") if x.startswith("outlink: ")] == links
+            assert fields["WARC-Source-HTTP-Status"] == "HTTP/1.1 200 OK" and fields["WARC-Source-Header-Content-Length"] == str(len(source.payload.encode()))
         else:
+            assert fields["WARC-Source-HTTP-Status"] == "HTTP/1.1 200 OK" and fields["WARC-Source-Header-Content-Type"] == "text/html; charset=utf-8"
             assert "<p>" not in block and "track(" not in block and "  " not in block
 
 
@@ -43,6 +48,26 @@ def test_text_of_html(spark):
     assert got == "A & B\none\ntwo <x> three\n1 < 2"
 
 
+def test_titles_and_links_are_decoded(spark):
+    html = "<title>Caf&eacute; &#8217;s\n &amp; more</title><a class='x' href=\"/a?b=1&amp;c=2\">1</a> <A HREF='two words'>2</A> <a href=three>3</a> <abbr href=no> <a\nhref = \"\n four\">4</a>"
+    row = warc.derive(warc.responses_of_pages(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))).filter("record_type = 'metadata'").first()
+    lines = row.block.split("\r\n")
+    assert "title: Café ’s & more" in lines and "outlinks: 4" in lines
+    assert [x for x in lines if x.startswith("outlink: ")] == ["outlink: /a?b=1&c=2", "outlink: two words", "outlink: three", "outlink: four"]
+
+
+def test_unclosed_markup_is_read_once(spark):
+    """Pages of some MB that open the same thing again and again: what isn't closed reaches to the end, in linear time."""
+    pieces = ("<!-- ", "<script ", "<script>", "<title>", "<title ", "<a ", "<div ", "<html ", "<a href=")
+    took = []
+    for n in (20_000, 80_000):
+        pages = spark.createDataFrame([(i, "u", "before <b>" + x * n) for i, x in enumerate(pieces)], "page_id long, url string, html string")
+        began = time.time()
+        assert len(warc.digests(pages).collect()) == 2 * len(pieces)
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 2
+
+
 def test_odd_responses(spark):
     schema = "page_id long, record_id string, target_uri string, date string, http_head string, payload string, block string"
     rows = [
