@@ -3,7 +3,9 @@
 Base rules find assignments, access keys and long hexadecimal runs.  Beside them, candidate strings (long runs of
 key-like signs) are searched for windows of high Shannon entropy: for each character class a window slides over
 the candidate's runs of that class, its counts change by one sign in and one sign out, and the entropy follows
-from a running sum.  Windows over the class's threshold merge into spans, unless an allow-list rule matches.
+from a running sum.  A run with a window over the class's threshold is a span as a whole, as a secret's quiet parts belong to it,
+unless the allow-list lets it through: fixed patterns, and what reads as words (joined words, paths, names in camel
+case).  Within a URL each part between slashes is a candidate of its own.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the longest run from the leftmost start: shorter runs fail with every start inside them
 HEX = re.compile(r"[0-9a-f]{24,}")
 JOINED = re.compile(r"^(?!(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/]*$)")  # not just words and numbers joined by separators
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+PART = re.compile(r"[^/]+")
+URL_BEGUN = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s\"'<>]*$")
+URL_SIGNS = 2_000  # how far back a URL's beginning is looked for
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper", "entropy_mixed")
 
 
@@ -56,6 +62,8 @@ class EntropyRules:
         re.compile(r"[A-Z]+([-_/][A-Z]+)*"),
         re.compile(r"(?i)(abcdefghijklmnopqrstuvwxyz|0123456789|abcdef|[+/_=-])+"),  # alphabets
     )
+    #: A span of both cases is let through too if its pieces (a capital with small letters, capitals, digits) have so many signs on average.
+    word_length: float = 3.5
     steps: tuple[float, ...] = field(default_factory=lambda: tuple(c * log2(c) if c else 0.0 for c in range(257)))
 
 
@@ -96,21 +104,37 @@ def hot_windows(run: str, window: int, threshold: float, steps: tuple[float, ...
     return out
 
 
+def reads_as_words(text: str, least: float) -> bool:
+    """Whether capitals and small letters take turns, and give way to digits and other signs, as seldom as they do in words."""
+    pieces = PIECE.findall(text)
+    return not text.islower() and not text.isupper() and bool(pieces) and sum(map(len, pieces)) >= least * len(pieces)
+
+
+def candidates(text: str, rules: EntropyRules):
+    """(start, candidate) of a text; of one within a URL the parts between slashes."""
+    for m in rules.candidate.finditer(text):
+        head = text[max(0, m.start() - URL_SIGNS) : m.start()]
+        if "/" in m.group() and URL_BEGUN.search(head):
+            yield from ((m.start() + p.start(), p.group()) for p in PART.finditer(m.group()) if rules.candidate.fullmatch(p.group()))
+        else:
+            yield m.start(), m.group()
+
+
 def entropy_spans(text: str, rules: EntropyRules = RULES) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the runs of a class's signs that hold a hot window and aren't let through, those within another's span once."""
     out = []
-    for m in rules.candidate.finditer(text):
-        candidate = m.group()
-        if any(a.fullmatch(candidate) for a in rules.allow):
+    allowed = lambda x: any(a.fullmatch(x) for a in rules.allow) or reads_as_words(x, rules.word_length)
+    for at, candidate in candidates(text, rules):
+        if allowed(candidate):
             continue
         held = len(out)
         for c in rules.classes:
             for r in c.runs.finditer(candidate):
-                for a, b in hot_windows(r.group(), c.window, c.threshold, rules.steps):
-                    span, start, end = r.group()[a:b], m.start() + r.start() + a, m.start() + r.start() + b
-                    if any(x.fullmatch(span) for x in rules.allow) or not all(x.search(span) for x in c.needs):
-                        continue
-                    if not c.needs or not any(s[0] <= start and end <= s[1] for s in out[held:]):
-                        out.append((start, end, c.kind))
+                run, start, end = r.group(), at + r.start(), at + r.end()
+                if not all(x.search(run) for x in c.needs) or (c.needs and any(s[0] <= start and end <= s[1] for s in out[held:])):
+                    continue
+                if not allowed(run) and hot_windows(run, c.window, c.threshold, rules.steps):
+                    out.append((start, end, c.kind))
     return out
 
 

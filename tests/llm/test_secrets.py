@@ -99,5 +99,39 @@ def test_recall_by_alphabet():
             assert found >= 960, (name, size, found)
 
 
+def test_the_whole_candidate_goes():
+    key = "aaaaaaaaaaaaaaaaaaaa" + "kJ8sPq2LxZ0vB7nTfR4wYh6M" + "bbbbbbbbbbbbbbbbbbbb"
+    assert S.entropy_spans(f"x {key} y") == [(2, 2 + len(key), "entropy_base64")]
+
+
+def test_clean_texts_have_no_spans():
+    """Precision: what reads as words, paths or names isn't taken for a secret."""
+    rng = random.Random(3)
+    words = ["some", "Long", "Path", "Segment", "With", "Many", "Words", "annual", "Report", "chapter", "internationalisation", "Users", "ABC", "2024", "version", "12"]
+    flagged = 0
+    for _ in range(4000):
+        n, sep = rng.randint(3, 9), rng.choice(["", "", "-", "_", "/"])
+        name = sep.join(rng.choice(words) if sep else rng.choice(words[:12]).title() for _ in range(n))
+        text = rng.choice(["see {} there", "https://example.org/{}/index.html", "https://example.org/a/{}?page=2", "import {}"]).format(name)
+        flagged += bool(S.entropy_spans(text))
+    assert flagged <= 20, flagged
+    assert S.entropy_spans("https://example.org/some/LongPathSegmentWithManyWords/AndAnotherOneOfThem/index") == []
+
+
+def test_secrets_in_urls_are_found():
+    key = "kJ8sPq2LxZ0vB7nTfR4wYh6M"
+    text = f"https://hooks.example.org/services/SomeLongServiceName/{key}/x and ?sig={key}"
+    assert [text[a:b] for a, b, _ in S.entropy_spans(text)] == [key, f"sig={key}"]
+
+
+def test_precision_on_clean_documents(spark):
+    """Spans beyond the base rules on documents of the tables: each is of a run without a word in it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = S.scan(docs).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    beyond = [texts[r.doc_id][int(a) : int(b)] for r in rows for kind, a, b in (x.split(":") for x in r.spans.split(",") if x) if kind.startswith("entropy")]
+    assert all(len(x) >= 20 and not S.reads_as_words(x, 3.5) for x in beyond)
+
+
 def test_joined_words_are_let_through():
     assert S.entropy_spans("Annual-Report-2024-Summary path/to/Folder/2023/December-11 thequickbrownfoxjumpsover AAAAAAAAAAAAAAAAAAAAA1") == []
