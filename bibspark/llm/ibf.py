@@ -8,33 +8,70 @@ each, so no digest is taken out twice.  If every cell ends empty, what was taken
 difference, and the likeness is the Jaccard similarity of the two sets.  If not, the pair is tried again with larger
 sketches: first so large that even disjoint sets should peel, then twice as large each time, with new hash functions.
 
-All rounds of one try run in one stage: pairs are dealt out by row once, and every grouping is by row and cell.
+The fingerprint's own sketches are small, so they are made, subtracted and peeled inside their row: the first try moves nothing.
+Larger ones are rows of cells: pairs still open are dealt out by row once for each try, and all its rounds run in one stage.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import checkpointed, release_shuffles, shuffle_width, text_or_empty
+from bibspark.llm.common import checkpointed, shuffle_width, text_or_empty
 
 WORDS = 16
 BASE = 8  # cells of each subtable of the fingerprint itself
 TABLES = 3
 PARTS = 256
+ROUNDS = 9  # of peeling a fingerprint's sketch
+MORE_ROUNDS = 15  # of peeling a larger one
 
 
 def digests_of(text: Column, words: int = WORDS) -> Column:
-    """Distinct digests of the paragraphs of a text; blanks around a paragraph don't count, a blank text has none."""
+    """Distinct digests of the paragraphs of a text; white space around a paragraph doesn't count, a blank text has none."""
     found = F.regexp_extract_all(text, F.lit(r"((?:[^\s]+[^\S\n]*){1,%d})" % words), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda p: F.xxhash64(F.trim(p))))
+    return F.array_distinct(F.transform(found, lambda p: F.xxhash64(F.rtrim(p, F.lit(" \t\r\x0b\f")))))
 
 
-def _cell(digest: str, table: int, size: str, seed: str) -> str:
+def _cell(digest: str, table: int | str, size: int | str, seed: int | str) -> str:
     return f"cast({table} * {size} + pmod(xxhash64({digest}, {table}, {seed}), {size}) AS int)"
 
 
+def sketch(digests: str, base: int = BASE) -> str:
+    """Expression of the small sketch of an array of digests: an array of struct(c, k, h), a cell each."""
+    entry = f"named_struct('k', d, 'h', hash(d), {', '.join(f"'t{t}', {_cell('d', t, base, 0)}" for t in range(TABLES))})"
+    cell = "aggregate(filter(e, x -> x.t{t} = i), named_struct('c', 0, 'k', 0L, 'h', 0), (y, x) -> named_struct('c', y.c + 1, 'k', y.k ^ x.k, 'h', y.h ^ x.h))"
+    tables = ", ".join(f"transform(sequence({t * base}, {(t + 1) * base - 1}), i -> {cell.format(t=t)})" for t in range(TABLES))
+    return f"transform(array(transform({digests}, d -> {entry})), e -> concat({tables}))[0]"
+
+
+def subtracted(left: str, right: str) -> str:
+    return f"zip_with({left}, {right}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
+
+
+def peeled(cells: str, base: int = BASE, rounds: int = ROUNDS) -> str:
+    """Expression of struct(cells, taken): what is left of a small sketch after so many rounds, and how many digests were taken out."""
+    single = "abs(x.c) = 1 AND x.h = hash(x.k)"
+    without = "aggregate(filter(p, x -> " + _cell("x.k", f"cast(i div {base} AS int)", base, 0) + " = i), z, (y, x) -> named_struct('c', y.c - x.c, 'k', y.k ^ x.k, 'h', y.h ^ x.h))"
+    moved = f"transform(s.cells, (z, i) -> if(i div {base} = r % {TABLES}, if(exists(array(z), x -> {single}), named_struct('c', 0, 'k', 0L, 'h', 0), z), {without}))"
+    pure = f"filter(slice(s.cells, (r % {TABLES}) * {base} + 1, {base}), x -> {single})"
+    step = f"transform(array({pure}), p -> if(size(p) = 0, s, named_struct('cells', {moved}, 'taken', s.taken + size(p))))[0]"
+    return f"aggregate(sequence(0, {rounds - 1}), named_struct('cells', {cells}, 'taken', 0), (s, r) -> {step})"
+
+
+def small_likeness(left: str, right: str, base: int = BASE) -> str:
+    """Expression of the Jaccard similarity of two sets of digests by their small sketches; null where the difference doesn't peel.
+
+    Sets whose sizes (part of a fingerprint) alone tell that it can't aren't tried.
+    """
+    total = f"(size({left}) + size({right}))"
+    result = f"transform(array({peeled(subtracted(sketch(left, base), sketch(right, base)), base)}), s -> if(exists(s.cells, x -> x.c <> 0 OR x.k <> 0 OR x.h <> 0), null, ({total} - s.taken) / cast({total} + s.taken AS double)))[0]"
+    return f"CASE WHEN {total} = 0 THEN 1D WHEN abs(size({left}) - size({right})) <= {TABLES * base} THEN {result} END"
+
+
 def cells(signed: DataFrame, by: list[str]) -> DataFrame:
     """Cells (cell, c, k, h) for each group `by` from rows (by, digests, sign, size, seed); of a signed pair, their difference."""
     put = ", ".join(f"struct({_cell('d', t, 'size', 'seed')} AS cell, sign AS c, d AS k, hash(d) AS h)" for t in range(TABLES))
@@ -58,49 +95,39 @@ def peel(found: DataFrame, by: list[str], rounds: int) -> DataFrame:
     return found
 
 
-def fingerprint(cell_list: Column, count: Column) -> Column:
+def fingerprint(digests: str, base: int = BASE) -> Column:
     """Text form: number of digests, then each cell that isn't empty as cell:count:digests:checks (hexadecimal)."""
-    shown = F.transform(F.array_sort(cell_list), lambda x: F.concat(F.hex(x["cell"]), F.lit(":"), x["c"].cast("string"), F.lit(":"), F.lower(F.hex(x["k"])), F.lit(":"), F.lower(F.hex(x["h"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))))
-    return F.concat_ws(";", count.cast("string"), F.concat_ws(";", shown))
+    shown = f"transform({sketch(digests, base)}, (x, i) -> if(x.c = 0, null, concat(hex(i), ':', x.c, ':', lower(hex(x.k)), ':', lower(hex(cast(x.h AS bigint) & 4294967295)))))"
+    return F.expr(f"concat_ws(';', cast(size({digests}) AS string), concat_ws(';', {shown}))")
 
 
 def likeness(sets: DataFrame, kinds: dict[str, tuple[str, str]], *, base: int = BASE) -> DataFrame:
-    """(row, then a column for each kind) for rows (row, digest arrays); kinds names the two arrays to compare for each result.
+    """The columns of sets with one for each kind; kinds names the two arrays of digests to compare for each.
 
     A result is the Jaccard similarity of two sets by their sketches' peeled difference: 1 for two empty sets, 0 where just one is
-    empty.  row is unique.  The sets' sizes are part of a fingerprint, so a first try that must fail by size alone isn't made.
-    Sets are dealt out by row once for each try; every step of a try groups or joins by row and stays in place.
+    empty.  The column row is unique.  The first try stays inside each row.  For each further try the open rows are dealt out by row
+    once; every step of it groups or joins by row and stays in place, and its result is cut loose from what it was made of.
     """
     names = list(kinds)
     width = shuffle_width(sets.sparkSession)
-    state, attempt = None, 0
+    open_ = " OR ".join(f"{n} IS NULL" for n in names)
+    tried = checkpointed(sets.select("*", *[F.expr(small_likeness(a, b, base)).alias(n) for n, (a, b) in kinds.items()]))
+    done, attempt = [tried.filter(f"NOT ({open_})")], 1
     while True:
-        rows = sets.select("row", *dict.fromkeys(c for pair in kinds.values() for c in pair), *([F.lit(True).alias(f"open_{i}") for i in range(len(kinds))] if state is None else []))
-        if state is None:
-            rows = rows.repartition(width, "row")
-        if state is not None:
-            todo = state.filter(" OR ".join(f"{n} IS NULL" for n in names)).select(F.col("row").alias("todo"), *[F.col(n).isNull().alias(f"open_{i}") for i, n in enumerate(names)])
-            rows = rows.join(todo.hint("shuffle_hash"), F.col("row") == F.col("todo"))  # the small side is hashed, the sets aren't sorted
-        for i, (a, b) in enumerate(kinds.values()):
-            apart = F.abs(F.size(a) - F.size(b)) > TABLES * base
-            rows = rows.withColumn(f"total_{i}", F.size(a) + F.size(b)).withColumn(f"tried_{i}", F.col(f"open_{i}") & (~apart if attempt == 0 else F.lit(True)))
-        pairs = ", ".join(f"struct({i} AS kind, tried_{i} AS tried, total_{i} AS total, {a} AS left_set, {b} AS right_set)" for i, (a, b) in enumerate(kinds.values()))
-        size = f"{base}" if attempt == 0 else f"(ceil(total * 0.6) + 6) * {1 << (attempt - 1)}"
+        rows = tried.filter(open_)
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        rows = rows.repartition(width, "row")
+        pairs = ", ".join(f"struct({i} AS kind, {n} IS NULL AS tried, size({a}) + size({b}) AS total, {a} AS left_set, {b} AS right_set)" for i, (n, (a, b)) in enumerate(kinds.items()))
         dealt = rows.select("row", F.expr(f"inline(filter(array({pairs}), p -> p.tried))"))
-        signed = dealt.select("row", "kind", F.expr(f"cast({size} AS int) AS size"), F.lit(attempt).alias("seed"), F.expr("inline(array(struct(left_set AS digests, 1 AS sign), struct(right_set AS digests, -1 AS sign)))"))
-        left = peel(cells(signed, ["row", "kind"]), ["row", "kind"], 9 if attempt == 0 else 15)
+        size = f"cast((ceil(total * 0.6) + 6) * {1 << (attempt - 1)} AS int)"
+        signed = dealt.select("row", "kind", F.expr(size).alias("size"), F.lit(attempt).alias("seed"), F.expr("inline(array(struct(left_set AS digests, 1 AS sign), struct(right_set AS digests, -1 AS sign)))"))
+        left = peel(cells(signed, ["row", "kind"]), ["row", "kind"], MORE_ROUNDS)
         got = left.groupBy("row").agg(*[x for i in range(len(kinds)) for x in (F.sum(F.expr(f"if(cell < 0 AND kind = {i}, c, 0)")).alias(f"taken_{i}"), F.count_if((F.col("cell") >= 0) & (F.col("kind") == i)).alias(f"left_{i}"))]).withColumnRenamed("row", "got_row")
-        near = [F.expr(f"CASE WHEN tried_{i} AND coalesce(left_{i}, 0) = 0 THEN if(total_{i} = 0, 1D, (total_{i} - coalesce(taken_{i}, 0)) / cast(total_{i} + coalesce(taken_{i}, 0) AS double)) END AS {n}") for i, n in enumerate(names)]
-        flat = rows.select("row", *[f"{x}_{i}" for i in range(len(kinds)) for x in ("total", "tried")])
-        new = flat.join(got, F.col("row") == F.col("got_row"), "left").select("row", *near)
-        if state is not None:
-            new = new.select(F.col("row").alias("new_row"), *[F.col(n).alias(f"new_{n}") for n in names])
-            new = state.join(new, F.col("row") == F.col("new_row"), "left").select("row", *[F.coalesce(n, f"new_{n}").alias(n) for n in names])
-        state = checkpointed(new)
-        del rows, dealt, signed, left, got, flat, new
-        release_shuffles(sets.sparkSession)
-        if state.filter(" OR ".join(f"{n} IS NULL" for n in names)).isEmpty():
-            return state
+        met = rows.join(got, F.col("row") == F.col("got_row"), "left")
+        near = {n: F.expr(f"CASE WHEN {n} IS NOT NULL THEN {n} WHEN coalesce(left_{i}, 0) = 0 THEN (size({a}) + size({b}) - coalesce(taken_{i}, 0)) / cast(size({a}) + size({b}) + coalesce(taken_{i}, 0) AS double) END") for i, (n, (a, b)) in enumerate(kinds.items())}
+        tried = checkpointed(met.select(*sets.columns, *[c.alias(n) for n, c in near.items()]))
+        done.append(tried.filter(f"NOT ({open_})"))
         attempt += 1
 
 
@@ -141,7 +168,7 @@ def _versions(docs: DataFrame, key: str, text: str) -> DataFrame:
     nothing = F.expr("cast(array() as array<bigint>)")
     made = both.select(number, "id", F.length("text").cast("long").alias("n_chars"), digests_of(F.col("text")).alias("own"), edited.alias("edited"), F.coalesce("next_set", nothing).alias("next_set"))
     made = made.select("row", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests_of(F.col("edited")).alias("new"), "next_set")
-    return checkpointed(made)
+    return made
 
 
 def compare_versions(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,12 +182,5 @@ def compare_versions(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
 
     Texts are shuffled by key once: the same exchange serves as the source of the next documents' beginnings and as their target.
     """
-    made = _versions(docs, key, text)
-    release_shuffles(docs.sparkSession)  # those that moved texts
-    near = likeness(made, {"near_edited": ("own", "new"), "near_next": ("own", "next_set")}).withColumnRenamed("row", "near_row")
-    sides = made.select("row", "own", "new").repartition(shuffle_width(docs.sparkSession), "row").select("row", F.lit(BASE).alias("size"), F.lit(0).alias("seed"), F.lit(1).alias("sign"), F.expr("inline(array(struct(0 AS kind, own AS digests), struct(1 AS kind, new AS digests)))"))
-    held = cells(sides, ["row", "kind"]).groupBy("row").agg(*[F.collect_list(F.when(F.col("kind") == i, F.struct("cell", "c", "k", "h"))).alias(n) for i, n in ((0, "own_cells"), (1, "new_cells"))]).withColumnRenamed("row", "cell_row")
-    shown = made.select("row", "id", "n_chars", "edited_sha256", F.size("own").alias("n_own"), F.size("new").alias("n_new"))
-    out = shown.join(held, F.col("row") == F.col("cell_row"), "left").join(near, F.col("row") == F.col("near_row"))
-    none = F.expr("cast(array() as array<struct<cell:int,c:int,k:bigint,h:int>>)")
-    return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), "n_chars", "edited_sha256", fingerprint(F.coalesce("own_cells", none), F.col("n_own")).alias("fingerprint"), fingerprint(F.coalesce("new_cells", none), F.col("n_new")).alias("edited_fingerprint"), "near_edited", "near_next")
+    near = likeness(_versions(docs, key, text), {"near_edited": ("own", "new"), "near_next": ("own", "next_set")})
+    return near.select(F.col("id").cast(docs.schema[key].dataType).alias(key), "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("new").alias("edited_fingerprint"), "near_edited", "near_next")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def paragraphs(text):
-    return {p.strip(" ") for p in re.findall(r"(?:[^ \t\n\x0b\f\r]+[ \t\x0b\f\r]*){1,16}", text)}
+    return {p.strip(" \t\r\x0b\f") for p in re.findall(r"(?:[^ \t\n\x0b\f\r]+[ \t\x0b\f\r]*){1,16}", text)}
 
 
 def jaccard(a, b):
@@ -52,6 +53,33 @@ def test_large_differences_are_tried_again(spark):
     compare(spark, rows)
 
 
+def test_white_space_around_paragraphs(spark):
+    lines = [f"a{i} b c" for i in range(30)]
+    sets = spark.createDataFrame([("\n".join(lines), "\r\n".join(lines), "\n".join(" \t" + x + "\t \x0b\f" for x in lines))], "a string, b string, c string")
+    got = sets.select(*[ibf.digests_of(F.col(c)).alias(c) for c in "abc"]).first()
+    assert got.a == got.b == got.c and len(got.a) == 30
+
+
+def test_small_sketches_in_a_row(spark):
+    """What peels is exact; what doesn't is null; sketches subtract to that of the difference."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(200):
+        common, left, right = ([rng.randrange(-(2**63), 2**63) for _ in range(rng.randint(0, n))] for n in (60, rng.choice([0, 3, 8, 30]), rng.choice([0, 3, 8, 30])))
+        rows.append((i, [*common, *left], [*right, *common]))
+    got = spark.createDataFrame(rows, "row long, a array<long>, b array<long>").select("row", F.expr(ibf.small_likeness("a", "b")).alias("near"), F.expr(f"exists({ibf.subtracted(ibf.sketch('a'), ibf.sketch('a'))}, x -> x.c <> 0 OR x.k <> 0)").alias("left")).collect()
+    peeled = 0
+    for r in got:
+        a, b = (set(x) for x in rows[r.row][1:])
+        assert r.left is False
+        if r.near is not None:
+            assert r.near == pytest.approx(len(a & b) / len(a | b) if a | b else 1)
+            peeled += 1
+        else:
+            assert len(a ^ b) > 4
+    assert 60 < peeled < 200
+
+
 def test_small_tables(spark, sf_dir):
     got = compare(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
     assert sum(r.near_edited for r in got) > 5 * sum(r.near_next for r in got)
