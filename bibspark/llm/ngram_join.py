@@ -6,8 +6,8 @@
 * Band hashes are shuffled.  Buckets of one representative end there.  A bucket's members are known by count, total
   size and two order-free sums over their ids, so of equal buckets in several bands only the first stays.
 * Bucket members get their text and meet in tasks of bounded size: a large bucket is cut into blocks and every two blocks meet
-  in a task of their own.  There the full sets are intersected.  What leaves a task is a count of links for each
-  representative and at most one edge for each (a spanning forest), never the pairs.  A pair that meets in several
+  in a task of their own.  There the full sets are intersected, by matrix products over the shingles that they share.  What leaves a task is a
+  count of links for each representative and at most one edge for each (to the least one connected), never the pairs.  A pair that meets in several
   bands counts in the first.
 * Edges give the groups of near-duplicates.
 """
@@ -29,7 +29,7 @@ from bibspark.llm.wordhash import Words
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -114,82 +114,86 @@ def signatures(docs: DataFrame, plan: Banding, *, key: str = "doc_id", text: str
     return rows.mapInArrow(run, "doc long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
-class _Forest:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (p := self.up.setdefault(x, x)) != x:
-            self.up[x] = self.up.setdefault(p, p)
-            x = p
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-    def edges(self) -> list[tuple[int, int]]:
-        return [(x, r) for x in self.up if (r := self.root(x)) != x]
-
+def connected(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of n rows the least row that the pairs (x, y) connect it with."""
+    label = np.arange(n)
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        before = label.copy()
+        # Roots take the smaller root; then every row looks past its root.
+        np.minimum.at(label, before[x], low)
+        np.minimum.at(label, before[y], low)
+        while (label != (up := label[label])).any():
+            label = up
+        if (label == before).all():
+            break
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    return label
+
+
+class _Strip:
+    """Some sets as sorted (shingle, set) entries, to be met with other strips."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        self.sizes = np.fromiter(map(len, sets), np.float64, self.n)
+        values, owners = np.concatenate(sets), np.repeat(np.arange(self.n), [len(s) for s in sets])
+        order = np.argsort(values, kind="stable")
+        self.values, self.owners = values[order], owners[order]
+        self.distinct = np.unique(self.values)
+
+    def common(self, other: _Strip, most: int = 8_000_000) -> np.ndarray:
+        """Sizes of the intersections of all own with all of the other's sets; only shingles on both sides are looked at, some columns at a time."""
+        shared = np.intersect1d(self.distinct, other.distinct, assume_unique=True)
+        out = np.zeros((self.n, other.n), np.float32)
+        width = max(256, most // max(self.n, other.n, 1))
+        for first in range(0, len(shared), width):
+            part = shared[first : first + width]
+            x = self._present(part)
+            out += x @ (x if other is self else other._present(part)).T
+        return out
 
-def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all left with all right sets; only shingles on both sides are looked at."""
-    a, b = np.concatenate(left), np.concatenate(right)
-    shared = np.intersect1d(a, b)
-    out = np.zeros((len(left), len(right)), np.float32)
-    if not len(shared):
+    def _present(self, part: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.values, part[0]), np.searchsorted(self.values, part[-1], side="right")
+        values = self.values[low:high]
+        at = np.searchsorted(part, values)
+        hit = part[at] == values
+        out = np.zeros((self.n, len(part)), np.float32)
+        out[self.owners[low:high][hit], at[hit]] = 1
         return out
-    ra, rb = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
-
-    def inside(values, rows):
-        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
-        ok = shared[at] == values
-        return rows[ok], at[ok]
-
-    (ra, ca), (rb, cb) = inside(a, ra), inside(b, rb)
-    # Strips of columns keep the matrices small.
-    width = max(256, min(len(shared), 8_000_000 // max(len(left), len(right), 1)))
-    for first in range(0, len(shared), width):
-        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
-        ok = (ca >= first) & (ca < first + width)
-        x[ra[ok], ca[ok] - first] = 1
-        ok = (cb >= first) & (cb < first + width)
-        y[rb[ok], cb[ok] - first] = 1
-        out += x @ y.T
-    return out
 
 
-def _verify(docs: list[int], copies: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], side: np.ndarray, band: int, threshold: float):
-    """(links of each row, forest) over the pairs of one task: within one block, or between block 0 and block 1."""
-    links = np.zeros(len(docs), np.int64)
-    forest = _Forest()
-    sizes = np.array([len(s) for s in sets], np.float64)
+def _verify(copies: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: float, step: int = 1024):
+    """(links of each row, least connected row of each) over the pairs of one task: within one block, or between block 0 and block 1.
+
+    bands holds each row's hashes of the bands before this task's; a pair that has one of them in common counted there.
+    """
+    links, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
     within = not side.any()
     left = np.flatnonzero(side == 0)
-    right = left if within else np.flatnonzero(side == 1)
-    step = 1024
-    for i in range(0, len(left), step):
-        for j in range(i if within else 0, len(right), step):
-            p, q = left[i : i + step], right[j : j + step]
-            inter = common_counts([sets[x] for x in p], [sets[x] for x in q]).astype(np.float64)
-            union = sizes[p][:, None] + sizes[q][None, :] - inter
-            near = inter >= threshold * union - 1e-9
+    lefts = [left[i : i + step] for i in range(0, len(left), step)]
+    right = np.flatnonzero(side == 1)
+    rights = lefts if within else [right[i : i + step] for i in range(0, len(right), step)]
+    strips = [_Strip([sets[r] for r in q]) for q in rights]
+    for i, p in enumerate(lefts):
+        own = strips[i] if within else _Strip([sets[r] for r in p])
+        for j in range(i if within else 0, len(rights)):
+            q, other = rights[j], strips[j]
+            inter = own.common(other)
+            near = inter >= threshold * (own.sizes[:, None] + other.sizes[None, :] - inter) - 1e-9
             if within and i == j:
-                near &= np.arange(len(p))[:, None] < np.arange(len(q))[None, :]
+                near = np.triu(near, 1)
             x, y = np.nonzero(near)
-            if len(x):
-                x, y = p[x], q[y]
-                # Only in the first band in which a pair meets.
-                first = np.ones(len(x), bool)
-                for k in range(band):
-                    first &= bands[x, k] != bands[y, k]
-                x, y = x[first], y[first]
-                np.add.at(links, x, copies[y])
-                np.add.at(links, y, copies[x])
-                for a, b in zip(x.tolist(), y.tolist(), strict=True):
-                    forest.join(docs[a], docs[b])
-    return links, forest
+            x, y = p[x], q[y]
+            for band in bands.T:
+                new = band[x] != band[y]
+                x, y = x[new], y[new]
+            links += np.bincount(x, copies[y], len(sets)).astype(np.int64) + np.bincount(y, copies[x], len(sets)).astype(np.int64)
+            found = connected(len(sets), x, y)
+            rows = np.arange(len(sets))
+            label = connected(len(sets), np.concatenate([rows, rows]), np.concatenate([label, found]))
+    return links, label
 
 
 def _verify_partition(size: int, threshold: float):
@@ -198,24 +202,28 @@ def _verify_partition(size: int, threshold: float):
     def flush(rows: list[dict], out: list):
         if len(rows) < 2:
             return
-        band = rows[0]["band"]
+        band, side = rows[0]["band"], np.array([r["side"] for r in rows])
+        if rows[0]["i"] != rows[0]["j"] and (side == side[0]).all():
+            return
         if len(rows) == 2:
             x, y = rows
             inter = len(np.intersect1d(x["set"], y["set"], assume_unique=True))
-            if (rows[0]["i"] == rows[0]["j"] or x["side"] != y["side"]) and inter >= threshold * (len(x["set"]) + len(y["set"]) - inter) - 1e-9 and all(p != q for p, q in zip(x["bands"][:band], y["bands"][:band], strict=True)):
-                out += [(x["doc"], None, y["copies"]), (y["doc"], None, x["copies"]), (max(x["doc"], y["doc"]), min(x["doc"], y["doc"]), 0)]
-            return
-        side = np.array([r["side"] for r in rows])
-        if rows[0]["i"] != rows[0]["j"] and (side == side[0]).all():
+            if inter >= threshold * (len(x["set"]) + len(y["set"]) - inter) - 1e-9 and all(p != q for p, q in zip(x["bands"][:band], y["bands"][:band], strict=True)):
+                low, high = sorted((x["doc"], y["doc"]))
+                out.append(([x["doc"], y["doc"], high], [-1, -1, low], [y["copies"], x["copies"], 0], [True, True, False]))
             return
         bands = np.array([r["bands"][:band] for r in rows], np.int64).reshape(len(rows), band)
-        links, forest = _verify([r["doc"] for r in rows], np.array([r["copies"] for r in rows]), bands, [r["set"] for r in rows], side, band, threshold)
-        out += [(r["doc"], None, int(n)) for r, n in zip(rows, links, strict=True) if n]
-        out += [(a, b, 0) for a, b in forest.edges()]
+        docs = np.array([r["doc"] for r in rows])
+        order = np.argsort(docs)  # so the least row is the least document
+        rows, docs = [rows[k] for k in order.tolist()], docs[order]
+        links, label = _verify(np.array([r["copies"] for r in rows]), bands[order], [r["set"] for r in rows], side[order], threshold)
+        linked, tied = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(rows)))
+        empty = np.full(len(linked), -1)
+        out.append((np.concatenate([docs[linked], docs[tied]]), np.concatenate([empty, docs[label[tied]]]), np.concatenate([links[linked], np.zeros(len(tied), np.int64)]), np.repeat([True, False], [len(linked), len(tied)])))
 
     def batch(out):
-        a, b, n = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "links"])
+        a, b, n, void = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else [()] * 4))
+        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64), mask=void.astype(bool)), pa.array(n.astype(np.int64))], names=["a", "b", "links"])
 
     def run(batches):
         rows: list[dict] = []
@@ -230,7 +238,7 @@ def _verify_partition(size: int, threshold: float):
                     flush(rows, out)
                     rows, task = [], k
                 rows.append(r)
-            if len(out) > 5000:
+            if len(out) > 1000:
                 yield batch(out)
                 out = []
         flush(rows, out)
