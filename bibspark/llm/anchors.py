@@ -15,7 +15,8 @@ a document with a smaller id go.
 What travels are packed columns, one binary per (group of documents, bucket of hashes).  A group (some MB of text)
 combines its own rows first: of a hash that it holds several times only the smallest document's places leave it, the others
 being decided on the spot, so a passage in a third of all documents sends one entry for each group.  Documents
-themselves move once, into their groups.
+themselves move once, into their groups.  Groups and buckets both grow with the square root of the table's size, so packed
+rows grow in proportion to it, up to sizes that a worker holds; beyond (some 60 TB) rows hold one hash, never less.
 """
 
 from __future__ import annotations
@@ -27,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import text_or_empty
+from bibspark.llm.common import shuffle_width, text_or_empty
 from bibspark.llm.wordhash import Words
 
 WINDOW = 50
 BLOCK = 8
-GROUP_CHARS = 2_000_000
-BUCKET_WORDS = 500_000
+#: Characters of text in a group and in a bucket's share: the first up to EVEN_CHARS of table, then growing with its square root up to the second.
+GROUP_CHARS = (2_000_000, 16_000_000)
+BUCKET_CHARS = (3_000_000, 72_000_000)
+EVEN_CHARS = 500_000_000
+TASK_CHARS = 128_000_000  # of text that one task shuffles at most, where the session's number of partitions would make it more
 SMALL = np.iinfo(np.int64).min  # stands for a null id, which comes first
 
 
@@ -226,30 +230,48 @@ def _cover(docs: pa.Table, places: pa.Table, window: int, with_text: bool) -> pa
         r = int(mask.sum())
         removed.append(r)
         kept.append(b" ".join(words) if not r else b" ".join([w for w, g in zip(words, mask.tolist(), strict=True) if not g]))
-    out = {"row": docs["row"].take(pa.array(order)), "n_words": pa.array(sizes), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
+    order = pa.array(order)
+    out = {"row": docs["row"].take(order), "times": docs["times"].take(order), "n_words": pa.array(sizes), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
     if with_text:
         out["kept_text"] = pa.array([k.decode() for k in kept], pa.string())
     return pa.table(out)
 
 
-def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, block: int = BLOCK, group_chars: int = GROUP_CHARS, bucket_words: int = BUCKET_WORDS, with_text: bool = True) -> DataFrame:
+def sizes(chars: int) -> tuple[int, int]:
+    """(characters in a group, characters for each bucket) of a table of so many characters."""
+    grown = max(1.0, (chars / EVEN_CHARS) ** 0.5)
+    return tuple(int(min(most, least * grown)) for least, most in (GROUP_CHARS, BUCKET_CHARS))
+
+
+def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, block: int = BLOCK, group_chars: int | None = None, bucket_chars: int | None = None, with_text: bool = True) -> DataFrame:
     """key, n_words, n_removed, kept_sha256 and, if asked for, kept_text for every row of docs.
 
     A null text has no words.  A null id counts as the smallest; rows with equal ids are one document's as far as "smaller" goes, and
-    each is judged by its own words.  A text of fewer than `window` words keeps all.  Ids are integers.
+    each is judged by its own words.  A text of fewer than `window` words keeps all.  Ids are integers.  Where ids are
+    null or repeated, equal rows are worked on once, and rows of one id are dealt out by their texts.
     """
     if blocks_in(window, block) < 1:
         raise ValueError("a window must hold a whole block wherever the blocks begin")
-    chars = docs.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
-    groups, buckets = max(1, -(-chars // group_chars)), max(1, -(-chars // (6 * bucket_words)))
-    rows = docs.select(F.pmod(F.xxhash64(key), F.lit(groups)).alias("grp"), F.coalesce(F.col(key).cast("long"), F.lit(SMALL)).alias("doc"), F.col(key).alias("row"), text_or_empty(text).alias("text"))
+    table = docs.groupBy(F.col(key).alias("doc")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length(text)).alias("chars"))
+    seen = table.agg(F.sum("chars").alias("chars"), F.max("rows").alias("most"), F.count_if(F.col("doc").isNull()).alias("nulls")).first()
+    chars = seen["chars"] or 0
+    even = sizes(chars)
+    groups, buckets = max(1, -(-chars // (group_chars or even[0]))), max(1, -(-chars // (bucket_chars or even[1])))
+    width = max(shuffle_width(docs.sparkSession), -(-chars // TASK_CHARS))
+    rows = docs.select(F.col(key).alias("row"), text_or_empty(text).alias("text"))
+    repeated = (seen["most"] or 0) > 1
+    rows = rows.groupBy("row", "text").agg(F.count(F.lit(1)).alias("times")) if repeated else rows.withColumn("times", F.lit(1).cast("long"))
+    dealt = F.xxhash64("row", "text") if repeated or seen["nulls"] else F.xxhash64("row")
+    rows = rows.select(F.pmod(dealt, F.lit(groups)).alias("grp"), F.coalesce(F.col("row").cast("long"), F.lit(SMALL)).alias("doc"), "row", "times", "text").repartition(width, "grp")
     kind = docs.schema[key].dataType.simpleString()
     anchored = rows.groupBy("grp").applyInArrow(lambda t: _probe_group(t, window, block, buckets), "bucket long, grp long, h binary, low binary, high binary")
-    hits = anchored.groupBy("bucket").applyInArrow(_meet, "grp long, h binary")
+    hits = anchored.repartition(width, "bucket").groupBy("bucket").applyInArrow(_meet, "grp long, h binary")
     windows = rows.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(lambda d, h: _extend_group(d, h, window, block, buckets), "bucket long, grp long, a binary, b binary, doc binary, pos binary")
-    places = windows.groupBy("bucket").applyInArrow(_decide, "grp long, pos binary")
-    out = rows.groupBy("grp").cogroup(places.groupBy("grp")).applyInArrow(lambda d, p: _cover(d, p, window, with_text), f"row {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
-    return out.withColumnRenamed("row", key)
+    places = windows.repartition(width, "bucket").groupBy("bucket").applyInArrow(_decide, "grp long, pos binary")
+    out = rows.groupBy("grp").cogroup(places.groupBy("grp")).applyInArrow(lambda d, p: _cover(d, p, window, with_text), f"row {kind}, times long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    if repeated:
+        out = out.withColumn("times", F.explode(F.sequence(F.lit(1), "times")))
+    return out.drop("times").withColumnRenamed("row", key)
 
 
 #: DuckDB on small tables: the windows spelled out.

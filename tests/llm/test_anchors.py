@@ -98,7 +98,7 @@ def test_random_passages(spark, seed):
             a = rng.randint(0, max(0, len(source) - 5))
             words[rng.randint(0, len(words)) : 0] = source[a : a + rng.randint(1, 40)]
         rows.append((rng.randint(0, 60), " ".join(words)))
-    compare(spark, rows, window=12, block=3, group_chars=rng.choice([200, 100_000]), bucket_words=rng.choice([5, 1000]))
+    compare(spark, rows, window=12, block=3, group_chars=rng.choice([200, 100_000]), bucket_chars=rng.choice([30, 6000]))
 
 
 def test_odd_rows_and_defaults(spark):
@@ -109,6 +109,27 @@ def test_odd_rows_and_defaults(spark):
     assert anchors.dedup(documents(spark, [])).count() == 0
 
 
+def test_sizes_grow_with_the_square_root():
+    assert anchors.sizes(1000) == (2_000_000, 3_000_000)
+    assert anchors.sizes(4 * anchors.EVEN_CHARS) == (4_000_000, 6_000_000)
+    assert anchors.sizes(10**14) == (16_000_000, 72_000_000)
+
+
+def test_many_rows_of_one_id(spark):
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(rng.choice([None, 7]), " ".join([f"a{i}", *passage[rng.randint(0, 9) :], f"b{i}"])) for i in range(60)]
+    compare(spark, [*rows, *rows[:20], *[(None, " ".join(passage))] * 25, (9, " ".join(passage))], group_chars=2000, bucket_chars=100)
+
+
+def test_long_text(spark):
+    """A text of some tens of MB beside one that holds a part of it."""
+    words = [f"w{i * 7919 % 1000003}" for i in range(3_000_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x", *words[1_000_000:1_200_000], "y"]))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in anchors.dedup(documents(spark, rows), with_text=False).collect()}
+    assert got == {1: (3_000_000, 0), 2: (200_002, 200_000)}
+
+
 def test_exactly_fifty_words(spark):
     a = [f"a{i}" for i in range(50)]
     rows = [(1, " ".join(["u", "v", *a, "w"])), (2, " ".join([*a, "x"])), (3, " ".join([*a[:49], "x"])), (4, "\t".join(["q"] * 7 + a))]
