@@ -2,39 +2,24 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bibspark.operators.rounds import checkpointed, components, shared_folder
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["checkpointed", "components", "drop_folder", "mix64", "read_table", "shared_folder", "shuffle_width", "text_batches", "text_or_empty"]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir; a temporary one only where none is set."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bibspark-checkpoint-"))
-    return df.checkpoint(eager=True)
-
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner drop the shuffle files of plans that nothing refers to any more.
 
-    It acts when the driver's JVM collects its garbage, which knows of Python's a moment after Python let go of it; hence two rounds.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.3)
-        spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder from the store that its path names."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -64,10 +49,6 @@ def text_batches(table_batches, column: str | tuple[str, str] = "text", most: in
             yield batch.slice(first), texts[first:]
 
 
-def binary_column(values: list) -> pa.Array:
-    return pa.array(values, pa.binary())
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bit mixer with full avalanche on unsigned 64-bit values (constants of the public splitmix64 generator)."""
     x = x.astype(np.uint64, copy=True)

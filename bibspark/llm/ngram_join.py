@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import checkpointed, mix64, text_batches, text_or_empty
-from bibspark.llm.components import components
+from bibspark.llm.common import checkpointed, components, mix64, text_batches, text_or_empty
 from bibspark.llm.wordhash import Words
 
 SHINGLE = 5

@@ -3,7 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from bibspark.llm import components, ngram_join
+from bibspark.llm import ngram_join
+from bibspark.llm.common import components
 from helpers import ODD, documents
 
 
@@ -107,7 +108,7 @@ def test_recall_at_the_threshold():
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(200)] + [(1000, x) for x in range(1001, 1080)] + [(rng.randint(2000, 2400), rng.randint(2000, 2400)) for _ in range(260)] + [(5, 5), (None, 3)]
-    got = {r.vertex: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     up = {}
 
     def root(x):
@@ -120,4 +121,4 @@ def test_components(spark):
             a, b = root(a), root(b)
             up[max(a, b)] = min(a, b)
     assert got == {x: root(x) for x in up}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
