@@ -1,7 +1,9 @@
 """A corpus from raw documents to packed sequences: each stage calls one operator of bibspark.llm.
 
 A stage takes (spark, docs, sf_dir) and all rows that its predecessor kept; all but the last return the columns
-of documents.  Rows without a text pass the filters as empty texts where the operators say so.
+of documents.  Rows without a text count as empty ones: they are rated by an empty text's score, have no lines and no words, so no
+copies, keep a null text, and are packed as the end mark alone.  Rows without an id are rated, cut and packed like others
+but are nobody's copy; rows of equal ids stay or go together.  An empty table passes every stage.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibspark.llm import line_dedup, ngram_join, packing, quality, secrets_scan
-from bibspark.llm.common import read_table
+from bibspark.llm.common import drop_folder, read_table, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,17 +58,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet in the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="bibspark-pipeline-")
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over documents; each is written as Parquet in the shared folder and read again, and goes when the next one is written.
+
+    The last stage's table is what the result reads, so it stays.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        place = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(place)
+        if before:
+            drop_folder(spark, before)
+        docs, before = spark.read.parquet(place), place
     return docs
 
 
