@@ -9,7 +9,7 @@ difference, and the likeness is the Jaccard similarity of the two sets.  If not,
 sketches: first so large that even disjoint sets should peel, then twice as large each time, with new hash functions.
 
 The fingerprint's own sketches are small, so they are made, subtracted and peeled inside their row: the first try moves nothing.
-Larger ones are rows of cells: pairs still open are dealt out by row once for each try, and all its rounds run in one stage.
+Larger ones are rows of cells; all rounds of a try run in one stage, as every grouping is by row and cell.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import checkpointed, shuffle_width, text_or_empty
+from bibspark.llm.common import checkpointed, text_or_empty
 
 WORDS = 16
 BASE = 8  # cells of each subtable of the fingerprint itself
 TABLES = 3
 PARTS = 256
-ROUNDS = 9  # of peeling a fingerprint's sketch
-MORE_ROUNDS = 15  # of peeling a larger one
+SMALL_ROUNDS = 9  # of peeling a fingerprint's sketch
+ROUNDS = 15  # of peeling a larger one
 
 
 def digests_of(text: Column, words: int = WORDS) -> Column:
@@ -52,7 +52,7 @@ def subtracted(left: str, right: str) -> str:
     return f"zip_with({left}, {right}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
 
 
-def peeled(cells: str, base: int = BASE, rounds: int = ROUNDS) -> str:
+def peeled(cells: str, base: int = BASE, rounds: int = SMALL_ROUNDS) -> str:
     """Expression of struct(cells, taken): what is left of a small sketch after so many rounds, and how many digests were taken out."""
     single = "abs(x.c) = 1 AND x.h = hash(x.k)"
     without = "aggregate(filter(p, x -> " + _cell("x.k", f"cast(i div {base} AS int)", base, 0) + " = i), z, (y, x) -> named_struct('c', y.c - x.c, 'k', y.k ^ x.k, 'h', y.h ^ x.h))"
@@ -62,21 +62,23 @@ def peeled(cells: str, base: int = BASE, rounds: int = ROUNDS) -> str:
     return f"aggregate(sequence(0, {rounds - 1}), named_struct('cells', {cells}, 'taken', 0), (s, r) -> {step})"
 
 
-def small_likeness(left: str, right: str, base: int = BASE) -> str:
-    """Expression of the Jaccard similarity of two sets of digests by their small sketches; null where the difference doesn't peel.
+def small_difference(left: str, right: str, base: int = BASE) -> str:
+    """Expression of the number of digests by which two sets differ, by their small sketches; null where the difference doesn't peel.
 
     Sets whose sizes (part of a fingerprint) alone tell that it can't aren't tried.
     """
-    total = f"(size({left}) + size({right}))"
-    result = f"transform(array({peeled(subtracted(sketch(left, base), sketch(right, base)), base)}), s -> if(exists(s.cells, x -> x.c <> 0 OR x.k <> 0 OR x.h <> 0), null, ({total} - s.taken) / cast({total} + s.taken AS double)))[0]"
-    return f"CASE WHEN {total} = 0 THEN 1D WHEN abs(size({left}) - size({right})) <= {TABLES * base} THEN {result} END"
+    result = f"transform(array({peeled(subtracted(sketch(left, base), sketch(right, base)), base)}), s -> if(exists(s.cells, x -> x.c <> 0 OR x.k <> 0 OR x.h <> 0), null, s.taken))[0]"
+    return f"if(abs(size({left}) - size({right})) <= {TABLES * base}, {result}, null)"
 
 
 def cells(signed: DataFrame, by: list[str]) -> DataFrame:
-    """Cells (cell, c, k, h) for each group `by` from rows (by, digests, sign, size, seed); of a signed pair, their difference."""
+    """Cells (cell, c, k, h) for each group `by` from rows (by, digests, sign, size, seed); of a signed pair, their difference.
+
+    With sign 0 the digests are counts that are known already; they go to cell -1, where peeling counts too.
+    """
     put = ", ".join(f"struct({_cell('d', t, 'size', 'seed')} AS cell, sign AS c, d AS k, hash(d) AS h)" for t in range(TABLES))
     spread = signed.select(*by, "sign", "size", "seed", F.explode("digests").alias("d"))
-    return _merged(spread.select(*by, "size", "seed", F.expr(f"inline(array({put}))")), by)
+    return _merged(spread.select(*by, "size", "seed", F.expr(f"inline(if(sign = 0, array(struct(-1 AS cell, cast(d AS int) AS c, 0L AS k, 0 AS h)), array({put})))")), by)
 
 
 def _merged(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -105,29 +107,34 @@ def likeness(sets: DataFrame, kinds: dict[str, tuple[str, str]], *, base: int =
     """The columns of sets with one for each kind; kinds names the two arrays of digests to compare for each.
 
     A result is the Jaccard similarity of two sets by their sketches' peeled difference: 1 for two empty sets, 0 where just one is
-    empty.  The column row is unique.  The first try stays inside each row.  For each further try the open rows are dealt out by row
-    once; every step of it groups or joins by row and stays in place, and its result is cut loose from what it was made of.
+    empty.  The column row is unique.  The fingerprint's own small sketches are tried first, inside each row; what they tell
+    goes along as a count.  A larger try groups and joins by row, in place where the table is dealt out by row already,
+    and ends in a checkpoint that keeps only arrays that are needed on.
     """
     names = list(kinds)
-    width = shuffle_width(sets.sparkSession)
     open_ = " OR ".join(f"{n} IS NULL" for n in names)
-    tried = checkpointed(sets.select("*", *[F.expr(small_likeness(a, b, base)).alias(n) for n, (a, b) in kinds.items()]))
-    done, attempt = [tried.filter(f"NOT ({open_})")], 1
+    arrays = list(dict.fromkeys(c for pair in kinds.values() for c in pair))
+    rows = sets.select("*", *[F.lit(None).cast("double").alias(n) for n in names])
+    done, attempt = [], 1
     while True:
-        rows = tried.filter(open_)
-        if rows.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        rows = rows.repartition(width, "row")
-        pairs = ", ".join(f"struct({i} AS kind, {n} IS NULL AS tried, size({a}) + size({b}) AS total, {a} AS left_set, {b} AS right_set)" for i, (n, (a, b)) in enumerate(kinds.items()))
+        small = lambda a, b: small_difference(a, b, base) if attempt == 1 else "cast(null AS int)"  # noqa: E731, B023
+        pairs = ", ".join(f"struct({i} AS kind, {n} IS NULL AS tried, {small(a, b)} AS known, size({a}) + size({b}) AS total, {a} AS left_set, {b} AS right_set)" for i, (n, (a, b)) in enumerate(kinds.items()))
         dealt = rows.select("row", F.expr(f"inline(filter(array({pairs}), p -> p.tried))"))
         size = f"cast((ceil(total * 0.6) + 6) * {1 << (attempt - 1)} AS int)"
-        signed = dealt.select("row", "kind", F.expr(size).alias("size"), F.lit(attempt).alias("seed"), F.expr("inline(array(struct(left_set AS digests, 1 AS sign), struct(right_set AS digests, -1 AS sign)))"))
-        left = peel(cells(signed, ["row", "kind"]), ["row", "kind"], MORE_ROUNDS)
+        sides = "array(struct(left_set AS digests, 1 AS sign), struct(right_set AS digests, -1 AS sign))"
+        signed = dealt.select("row", "kind", F.expr(size).alias("size"), F.lit(attempt).alias("seed"), F.expr(f"inline(if(known IS NULL, {sides}, array(struct(array(cast(known AS bigint)) AS digests, 0 AS sign))))"))
+        left = peel(cells(signed, ["row", "kind"]), ["row", "kind"], ROUNDS)
         got = left.groupBy("row").agg(*[x for i in range(len(kinds)) for x in (F.sum(F.expr(f"if(cell < 0 AND kind = {i}, c, 0)")).alias(f"taken_{i}"), F.count_if((F.col("cell") >= 0) & (F.col("kind") == i)).alias(f"left_{i}"))]).withColumnRenamed("row", "got_row")
-        met = rows.join(got, F.col("row") == F.col("got_row"), "left")
-        near = {n: F.expr(f"CASE WHEN {n} IS NOT NULL THEN {n} WHEN coalesce(left_{i}, 0) = 0 THEN (size({a}) + size({b}) - coalesce(taken_{i}, 0)) / cast(size({a}) + size({b}) + coalesce(taken_{i}, 0) AS double) END") for i, (n, (a, b)) in enumerate(kinds.items())}
-        tried = checkpointed(met.select(*sets.columns, *[c.alias(n) for n, c in near.items()]))
+        met = rows.join(got.hint("shuffle_hash"), F.col("row") == F.col("got_row"), "left")
+        near = [F.expr(f"CASE WHEN {n} IS NOT NULL THEN {n} WHEN size({a}) + size({b}) = 0 THEN 1D WHEN coalesce(left_{i}, 0) = 0 THEN (size({a}) + size({b}) - coalesce(taken_{i}, 0)) / cast(size({a}) + size({b}) + coalesce(taken_{i}, 0) AS double) END").alias(n) for i, (n, (a, b)) in enumerate(kinds.items())]
+        tried = met.select(*sets.columns, *near)
+        # Arrays that only open pairs need end with them; the first two of the first kind are the fingerprints'.
+        kept = [F.when(F.expr(" OR ".join([f"{n} IS NULL" for n, pair in kinds.items() if c in pair])), F.col(c)).otherwise(F.expr("cast(array() as array<bigint>)")).alias(c) if c in arrays and c not in kinds[names[0]] else F.col(c) for c in tried.columns]
+        tried = checkpointed(tried.select(*kept))
         done.append(tried.filter(f"NOT ({open_})"))
+        rows = tried.filter(open_)
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, done)
         attempt += 1
 
 
