@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bibspark.functions.fold import match_text
 from bibspark.functions.text import doi_selected, squeeze
 
 FRONT_CHARS, WHOLE_CHARS, FRONT_PAGES, SEARCH_CHARS = 120_000, 240_000, 8, 180_000
 DOI = r"(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b"
-URL = r"https?://[^\s<>\"']+"
+URL = r"(?i)https?://[^\s<>\[\]{}\"']+"
 YEAR = r"\b((?:19|20)\d{2})\b"
 
 # What counts as a sign of an article, event or monograph.
@@ -25,6 +26,7 @@ SIGNALS = {
     "has_monograph_marker": r"(?iU)\bISBN(?:-1[03])?\b",
 }
 WHOLE = ("has_references", "has_monograph_marker")
+FOLDED = ("has_event_marker", "has_monograph_marker")
 
 
 def first_match(text: Column, pattern: str, group: int = 0) -> Column:
@@ -32,9 +34,10 @@ def first_match(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def article_signals(front: Column, whole: Column) -> Column:
-    """struct of nine booleans over the bounded front and whole text."""
+    """struct of nine booleans over the bounded front and whole text; events and monographs are looked for in the folded text, where a line's end is a space."""
     a, b = F.substring(front, 1, FRONT_CHARS), F.substring(whole, 1, WHOLE_CHARS)
-    return F.struct(*[F.coalesce((b if name in WHOLE else a).rlike(p), F.lit(False)).alias(name) for name, p in SIGNALS.items()])
+    read = {(False, False): a, (True, False): b, (False, True): match_text(a), (True, True): match_text(b)}
+    return F.struct(*[F.coalesce(read[name in WHOLE, name in FOLDED].rlike(p), F.lit(False)).alias(name) for name, p in SIGNALS.items()])
 
 
 def looks_like_article(s: Column) -> Column:

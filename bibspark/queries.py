@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,11 +10,11 @@ from pyspark.sql import functions as F
 
 from bibspark.functions import names, text
 from bibspark.functions.fold import match_text, title_key, word_key
-from bibspark.operators import extract, gate, ledger, link, resolve, review, store
+from bibspark.operators import extract, gate, ledger, link, records, resolve, review, store
 from bibspark.operators.rounds import components
 from bibspark.plans import compile as compiled
 from bibspark.plans import render as layouts
-from bibspark.sources import inventory, pages
+from bibspark.sources import bibtex, inventory, pages, ris
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,9 +169,29 @@ def page_extract(spark, sf_dir):
     return rows.withColumn("f", f).select("page_id", m(F.col("html"), "<title>([^<]*)</title>", 1).alias("title"), m(F.col("html"), '<html lang="([a-z]+)"', 1).alias("lang"), m(F.col("url"), "^https?://([^/]+)", 1).alias("host"), "doi", "f.volume", "f.issue", "f.pages", "f.year")
 
 
-@query("""
-SELECT doc_id, doc_id % 2 = 0 AS has_doi, doc_id % 3 = 0 AS has_abstract, doc_id % 5 = 0 AS has_references, doc_id % 7 = 0 AS has_periodical_marker,
-  CASE WHEN (doc_id % 2 = 0 AND doc_id % 3 = 0 AND (doc_id % 5 = 0 OR doc_id % 7 = 0)) OR (doc_id % 3 = 0 AND doc_id % 5 = 0 AND doc_id % 7 = 0) THEN 'journal_article' ELSE 'unknown' END AS document_type FROM documents""")
+_SIGNS_SQL = ", ".join(
+    "regexp_matches({}, '{}') AS {}".format(("folded_" if n in extract.FOLDED else "") + ("whole" if n in extract.WHOLE else "front"), re.sub(r"^\(\?([ims]*)U?\)", r"(?\1)", p).replace("'", "''"), n) for n, p in extract.SIGNALS.items()
+)
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, 'Heading' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '10.1234/abc-5' || chr(10) ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN 'Resumo' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 5 = 0 THEN 'Referências' || chr(10) ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN 'ISSN 1234-5678' || chr(10) ELSE '' END || coalesce(text, '') AS text FROM documents),
+b AS (SELECT doc_id, substr(text, 1, 120000) AS front, substr(text, 1, 240000) AS whole, lower(text) AS low, {MATCH.format("text")} AS folded, {MATCH.format("substr(text, 1, 120000)")} AS folded_front, {MATCH.format("substr(text, 1, 240000)")} AS folded_whole FROM t),
+s AS (SELECT doc_id, low, folded, {_SIGNS_SQL} FROM b),
+c AS (SELECT *, regexp_matches(folded, 'apresentada|submetida|programa de pos graduacao') AS presented, regexp_matches(folded, 'catalogacao na fonte|ficha catalografica') AS card FROM s)
+SELECT doc_id, {", ".join(extract.SIGNALS)},
+  CASE WHEN regexp_matches(folded, '\\bdisserta(?:cao|gao|cdo)\\b') AND (folded LIKE '%mestrado%' OR presented) THEN 'dissertation'
+    WHEN regexp_matches(folded, '\\btese\\b') AND (folded LIKE '%doutorado%' OR presented) THEN 'thesis'
+    WHEN low LIKE '%digital object identifier 10.%' AND low LIKE '%date of publication%' THEN 'journal_article'
+    WHEN regexp_matches(low, '\\bsensors\\s+20\\d{{2}},\\s*\\d+,\\s*\\d+') AND low LIKE '%mdpi.com/journal/sensors%' THEN 'journal_article'
+    WHEN regexp_matches(low, '\\bdoi\\s*:\\s*10\\.') AND regexp_matches(low, '\\bv\\.?\\s*\\d+') THEN 'journal_article'
+    WHEN regexp_matches(folded, '\\bisbn\\s+[0-9x-]+') AND regexp_matches(folded, '\\b(?:[1-9]|10)[ªa]?\\s+edicao\\b') THEN 'book_manual'
+    WHEN card AND regexp_matches(folded, '\\b(?:ministerio|universidade|instituto|fundacao|organizacao)\\b') AND regexp_matches(folded, '\\b(?:19|20)\\d{{2}}\\b') THEN 'book_manual'
+    WHEN low LIKE '%notícias agrícolas%' OR (low LIKE '%publicado em%' AND low LIKE '%gov.br%') THEN 'web_article'
+    WHEN NOT has_event_marker AND NOT has_monograph_marker AND ((has_article_label AND (has_doi OR has_abstract OR has_periodical_marker)) OR (has_doi AND has_abstract AND (has_references OR has_periodical_marker OR has_publication_history))
+      OR (has_abstract AND has_references AND has_periodical_marker) OR (has_periodical_marker AND has_publication_history AND (has_doi OR has_references OR has_keywords))) THEN 'journal_article'
+    ELSE 'unknown' END AS document_type FROM c""")
 def line_signals(spark, sf_dir):
     """Signals of an article in each document's whole text, with front matter put before it."""
     k = F.col("doc_id")
@@ -182,8 +203,8 @@ def line_signals(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, CASE WHEN p THEN 'browser_print' WHEN native = 0 THEN 'scanned' WHEN doc_id % 4 = 0 THEN 'institutional_repository' ELSE 'publisher_original' END AS variant
-FROM (SELECT doc_id, doc_id % 5 = 0 AS p, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS native FROM documents)""")
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR starts_with(lower(split_part(coalesce(text, ''), chr(10), 1)), 'brasil -') THEN 'browser_print' WHEN doc_id % 3 = 0 THEN 'scanned'
+  WHEN doc_id % 4 = 0 THEN 'institutional_repository' ELSE 'publisher_original' END AS variant FROM documents""")
 def variant_kinds(spark, sf_dir):
     """Kinds of variant from properties by number, and from each document's own text: its first line the title, the whole the front."""
     k, whole = F.col("doc_id"), F.coalesce("text", F.lit(""))
@@ -213,6 +234,85 @@ def ledger_unpivot(spark, sf_dir):
     return ledger.deduplicated(ledger.normalized(long)).select("record_id", "field_id", "value", "normalized_value")
 
 
+# Records of parsed entries: files are written from a table, read by the format's parser, and become the ledger.
+
+_KINDS = ("article", "book", "phdthesis", "inproceedings", "misc")
+
+
+def _bibtex_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of some fifty entries each, an entry for each part."""
+    k = F.col("p_partkey")
+    field = lambda name, value: F.concat(F.lit(f",\n  {name} = "), value)
+    braced = lambda value: F.concat(F.lit("{"), value, F.lit("}"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (k % len(_KINDS) + 1).cast("int"))
+    entry = F.concat(
+        F.lit("@"), kind, F.lit("{p"), k.cast("string"), field("title", braced(F.concat(F.lit("{"), "p_name", F.lit("} \\& more")))), field("author", braced(F.concat(F.lit("Lima, Ana and Souza, "), "p_brand"))), field("publisher", F.concat(F.lit('"House '), "p_brand", F.lit('"'))),
+        field("year", (1990 + k % 30).cast("string")), field("pagetotal", braced(F.col("p_size").cast("string"))), field("note", F.concat(F.lit("{A } # {"), "p_type", F.lit("}"))), F.when(k % 3 == 0, field("url", braced(F.concat(F.lit("https://example.org/p/"), k.cast("string"))))).otherwise(""),
+        F.when(k % 4 == 0, field("doi", braced(F.concat(F.lit("https://doi.org/10.9/P."), k.cast("string"))))).otherwise(""), F.lit("\n}"),
+    )
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("d/parts"), F.floor(k / 50).cast("string"), F.lit(".bib")).alias("path"), F.struct(k, entry.alias("entry")).alias("e"))
+    return rows.groupBy("path").agg(F.encode(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"]), "\n"), "UTF-8").alias("content"))
+
+
+_PARTS_SQL = """
+WITH p AS (SELECT *, p_partkey AS k, 'p' || CAST(p_partkey AS VARCHAR) AS source_record_id, CASE p_partkey % 5 WHEN 0 THEN 'article' WHEN 1 THEN 'book' WHEN 2 THEN 'phdthesis' WHEN 3 THEN 'inproceedings' ELSE 'misc' END AS kind,
+  CASE WHEN p_partkey % 3 = 0 THEN 'https://example.org/p/' || CAST(p_partkey AS VARCHAR) END AS url, CASE WHEN p_partkey % 4 = 0 THEN '10.9/P.' || CAST(p_partkey AS VARCHAR) END AS doi FROM part)
+"""
+
+
+@query(_PARTS_SQL + """, m(field_id, value, sequence, method, confidence, k, source_record_id) AS (
+  SELECT 'authors', 'Ana Lima', 1, 'm', 0.99, k, source_record_id FROM p UNION ALL SELECT 'authors', p_brand || ' Souza', 2, 'm', 0.99, k, source_record_id FROM p
+  UNION ALL SELECT 'title', p_name || ' & more', NULL, 'm', 0.99, k, source_record_id FROM p UNION ALL SELECT 'publication_year', CAST(1990 + k % 30 AS VARCHAR), NULL, 'm', 0.99, k, source_record_id FROM p
+  UNION ALL SELECT 'publisher', 'House ' || p_brand, NULL, 'm', 0.99, k, source_record_id FROM p UNION ALL SELECT 'doi', doi, NULL, 'm', 0.99, k, source_record_id FROM p
+  UNION ALL SELECT 'doi', 'https://doi.org/' || doi, NULL, 'r', 0.99, k, source_record_id FROM p UNION ALL SELECT 'url', coalesce(url, 'https://doi.org/' || doi), NULL, 'm', 0.99, k, source_record_id FROM p
+  UNION ALL SELECT 'work_type', 'Tese', NULL, 'm', 0.99, k, source_record_id FROM p WHERE kind = 'phdthesis' UNION ALL SELECT 'pagination', CAST(p_size AS VARCHAR), NULL, CASE kind WHEN 'phdthesis' THEN 'm' ELSE 'r' END, 0.99, k, source_record_id FROM p
+  UNION ALL SELECT 'physical_description', CAST(p_size AS VARCHAR) || ' p.', NULL, 'm', 0.99, k, source_record_id FROM p WHERE kind = 'book' UNION ALL SELECT 'notes', 'A ' || p_type, 1, 'r', 0.99, k, source_record_id FROM p)
+SELECT source_record_id, field_id, value, sequence, CASE method WHEN 'm' THEN 'bibtex_structured_metadata' ELSE 'bibtex_raw_field' END AS method, CAST(confidence AS DOUBLE) AS confidence FROM m WHERE value IS NOT NULL""")
+def bibtex_records(spark, sf_dir):
+    """Parts as BibTeX files, parsed, made into records of the ledger."""
+    metadata = records.from_bibtex(bibtex.parse(_bibtex_files(spark, sf_dir)))
+    return records.records(metadata, "bibtex").select("source_record_id", "field_id", "value", "sequence", "method", "confidence")
+
+
+def _ris_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    line = lambda tag, value: F.concat(F.lit(f"{tag}  - "), value, F.lit("\n"))
+    number = lambda n: n.cast("string")
+    record = F.concat(
+        line("TY", F.element_at(F.array(*map(F.lit, ("JOUR", "THES", "NEWS", "GEN"))), (k % 4 + 1).cast("int"))), line("ID", F.concat(F.lit("s"), number(k))), line("AU", F.concat(F.lit("Lima, "), "n_name")), line("TI", F.concat("s_name", F.lit("\n  and more"))), line("JO", F.col("n_name")),
+        line("PY", F.concat(number(1990 + k % 30), F.lit("/05/01"))), line("SP", number(10 + k % 7)), line("EP", number(12 + k % 5)), line("N1", F.lit("first")), line("N1", F.lit("second")), F.when(k % 3 == 0, line("DO", F.concat(F.lit("10.9/s"), number(k)))).otherwise(""), F.lit("ER  - \n"),
+    )
+    nation = F.broadcast(table(spark, sf_dir, "nation"))  # 25 rows at every scale
+    rows = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("d/s"), F.floor(k / 20).cast("string"), F.lit(".ris")).alias("path"), F.struct(k, record.alias("record")).alias("r"))
+    return rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["record"]), "\n").alias("text"))
+
+
+@query("""
+WITH s AS (SELECT *, s_suppkey AS k, 's' || CAST(s_suppkey AS VARCHAR) AS id, 10 + s_suppkey % 7 AS a, 12 + s_suppkey % 5 AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+m(source_record_id, field_id, value, sequence, method) AS (
+  SELECT id, 'authors', n_name || ' Lima', 1, 'm' FROM s UNION ALL SELECT id, 'title', s_name || ' and more', NULL, 'm' FROM s UNION ALL SELECT id, 'periodical_title', n_name, NULL, 'm' FROM s
+  UNION ALL SELECT id, 'publication_year', CAST(1990 + k % 30 AS VARCHAR), NULL, 'm' FROM s UNION ALL SELECT id, 'publication_year', CAST(1990 + k % 30 AS VARCHAR) || '/05/01', NULL, 'r' FROM s UNION ALL SELECT id, 'publication_month', '05', NULL, 'm' FROM s
+  UNION ALL SELECT id, 'article_pages', CASE WHEN a <> b THEN CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR) ELSE CAST(a AS VARCHAR) END, NULL, 'm' FROM s UNION ALL SELECT id, 'doi', '10.9/s' || CAST(k AS VARCHAR), NULL, 'm' FROM s WHERE k % 3 = 0
+  UNION ALL SELECT id, 'url', 'https://doi.org/10.9/s' || CAST(k AS VARCHAR), NULL, 'm' FROM s WHERE k % 3 = 0 UNION ALL SELECT id, 'work_type', 'first', NULL, 'm' FROM s
+  UNION ALL SELECT id, 'notes', 'first', 1, 'r' FROM s UNION ALL SELECT id, 'notes', 'second', 2, 'r' FROM s)
+SELECT source_record_id, field_id, value, sequence, CASE method WHEN 'm' THEN 'ris_structured_metadata' ELSE 'ris_raw_field' END AS method FROM m""")
+def ris_records(spark, sf_dir):
+    """Suppliers as RIS files, parsed, made into records of the ledger."""
+    metadata = records.from_ris(ris.parse(_ris_files(spark, sf_dir)))
+    return records.records(metadata, "ris").select("source_record_id", "field_id", "value", "sequence", "method")
+
+
+@query(_PARTS_SQL + """, t AS (
+  SELECT source_record_id, CASE kind WHEN 'article' THEN 'periodical_article' WHEN 'book' THEN 'monograph' WHEN 'phdthesis' THEN 'academic_work' END AS family, CASE kind WHEN 'article' THEN 'journal_article' WHEN 'book' THEN 'book_manual' WHEN 'phdthesis' THEN 'thesis' END AS document,
+    CASE kind WHEN 'article' THEN 'periodical_article' WHEN 'book' THEN 'monograph' WHEN 'phdthesis' THEN 'academic_work' WHEN 'inproceedings' THEN 'event_part' END AS entry_family, kind, CASE WHEN url IS NOT NULL OR doi IS NOT NULL THEN 'electronic' ELSE 'print' END AS medium FROM p)
+SELECT source_record_id, family, medium, CAST(0.92 AS DOUBLE) AS confidence, 'type of document ' || document AS reason FROM t WHERE family IS NOT NULL
+UNION ALL SELECT source_record_id, entry_family, medium, CAST(0.99 AS DOUBLE), 'entry type ' || kind FROM t WHERE entry_family IS NOT NULL""")
+def record_types(spark, sf_dir):
+    """Candidates of the type of each part's record."""
+    metadata = records.from_bibtex(bibtex.parse(_bibtex_files(spark, sf_dir)))
+    return records.type_candidates(metadata, "bibtex").select("source_record_id", "family", "medium", "confidence", "reason")
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of an order as candidates for the field of its flag: the supplier is the file, the part type the value."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", "l_quantity", "l_partkey")
@@ -315,7 +415,7 @@ def variant_components(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT doc_id, '10.1/' || CAST(doc_id % 70 AS VARCHAR) AS doi FROM documents WHERE doc_id % 2 = 0), e AS (SELECT item_id, '10.1/' || CAST(item_id AS VARCHAR) AS doi FROM benchmark)
+WITH d AS (SELECT doc_id, '10.1/' || CAST(doc_id % 70 AS VARCHAR) AS doi FROM documents), e AS (SELECT item_id, '10.1/' || CAST(item_id AS VARCHAR) AS doi FROM benchmark)
 SELECT d.doc_id, e.item_id, CASE WHEN e.item_id IS NULL THEN 'none' ELSE 'doi' END AS method FROM d LEFT JOIN e ON d.doi = e.doi""")
 def doi_link(spark, sf_dir):
     """Documents linked with benchmark items by DOI, and those left over."""
@@ -370,17 +470,19 @@ def suggestions(spark, sf_dir):
 
 # Order and rendering.
 
-_SUFFIX_SQL = """CASE WHEN i < 26 THEN chr(CAST(97 + i AS INT)) ELSE chr(CAST(96 + i // 26 AS INT)) || chr(CAST(97 + i % 26 AS INT)) END"""
+# a to z, aa to zz, then three letters and four.
+_SUFFIX_SQL = """CASE WHEN i < 26 THEN chr(CAST(97 + i AS INT)) WHEN i < 702 THEN chr(CAST(96 + i // 26 AS INT)) || chr(CAST(97 + i % 26 AS INT))
+  WHEN i < 18278 THEN chr(CAST(97 + (i - 702) // 676 AS INT)) || chr(CAST(97 + (i - 702) // 26 % 26 AS INT)) || chr(CAST(97 + (i - 702) % 26 AS INT))
+  ELSE chr(CAST(97 + (i - 18278) // 17576 AS INT)) || chr(CAST(97 + (i - 18278) // 676 % 26 AS INT)) || chr(CAST(97 + (i - 18278) // 26 % 26 AS INT)) || chr(CAST(97 + (i - 18278) % 26 AS INT)) END"""
 
 
 @query(f"""
-SELECT o_orderkey, CASE WHEN n > 1 THEN CASE WHEN i < 702 THEN {_SUFFIX_SQL} END ELSE '' END AS year_suffix FROM (
+SELECT o_orderkey, CASE WHEN n > 1 THEN {_SUFFIX_SQL} ELSE '' END AS year_suffix FROM (
   SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey % 50, year(o_orderdate)) AS n, row_number() OVER (PARTITION BY o_custkey % 50, year(o_orderdate) ORDER BY o_orderkey) - 1 AS i FROM orders)""")
 def year_suffix(spark, sf_dir):
     """Letters for the orders of one name and year."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("who"), F.year("o_orderdate").alias("year"), F.lit(True).alias("ready"))
-    out = compiled.year_letters(rows, group=["who", "year"], order=["o_orderkey"])
-    return out.select("o_orderkey", F.when(F.length("year_suffix") <= 2, F.col("year_suffix")).alias("year_suffix"))
+    return compiled.year_letters(rows, group=["who", "year"], order=["o_orderkey"]).select("o_orderkey", "year_suffix")
 
 
 @query(f"""
@@ -438,7 +540,7 @@ def render_monograph(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'DOI: https://doi.org/10.5/' || CAST(page_id AS VARCHAR) || '. ' ELSE '' END || CASE WHEN page_id % 6 = 0 THEN '' ELSE 'Disponível em: ' || rtrim(url, '.;, ') || '. Acesso em: 1 fev. 2024.' END AS online FROM pages""")
+SELECT page_id, concat_ws(' ', CASE WHEN page_id % 3 = 0 THEN 'DOI: https://doi.org/10.5/' || CAST(page_id AS VARCHAR) || '.' END, CASE WHEN page_id % 6 <> 0 THEN 'Disponível em: ' || rtrim(url, '.;, ') || '. Acesso em: 1 fev. 2024.' END) AS online FROM pages""")
 def online_segment(spark, sf_dir):
     """DOI and address of a page; every sixth address only repeats its DOI."""
     k = F.col("page_id")
@@ -447,8 +549,7 @@ def online_segment(spark, sf_dir):
     fields = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("k"), v.alias("v")) for n, v in (("doi", doi), ("url", url))]), lambda e: e["v"].isNotNull()))
     rows = table(spark, sf_dir, "pages").select("page_id", fields.alias("fields"))
     view = layouts.Fields(F.col("fields"), access_date=F.lit("2024-02-01"))
-    online = layouts.joined(view.online())
-    return rows.select("page_id", F.when(k % 6 == 0, F.concat(online, F.lit(" "))).otherwise(online).alias("online"))
+    return rows.select("page_id", layouts.joined(view.online()).alias("online"))
 
 
 # Gate, reports, stores.

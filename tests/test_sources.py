@@ -27,6 +27,20 @@ def test_bibtex_entries(spark):
     assert rows["lima"].fields["title"] == "Second ~ title" and rows["lima"].fields["publisher"] == "P (q)"
 
 
+def test_bibtex_grammar():
+    of = lambda text: [(k, key, f) for k, key, f in bibtex.entries(text)]
+    assert of(r'@a(k, t = "x ) \" y", u = {b (c)})') == [("a", "k", {"t": 'x ) " y', "u": "b (c)"})]
+    assert of('@ Article {k1,a={x}#"y"# z ,b="",c=,A = {last}}@book{k2,}') == [("article", "k1", {"a": "last", "b": "", "c": ""}), ("book", "k2", {})]
+    assert of("mail@host.org @x y @b{k, a = {{deep} {er {still}}}}") == [("b", "k", {"a": "{deep} {er {still}}"})]
+    assert of(r"@a{k\,x, t = {a \} b}}") == [("a", r"k\,x", {"t": r"a \} b"})]
+    for wrong in ("@a{k", "@a{k}", "@a{k, t}", '@a{k, t = "open}', "@a(k, t = {x)", "@a{k, t = {x} y}"):
+        with pytest.raises(bibtex.BibTeXError):
+            of(wrong)
+    deep = "{" * 3000 + "x" + "}" * 3000
+    assert of("@a{k, t = " + deep + "}")[0][2]["t"] == deep[1:-1]
+    assert len(of("@a{k, t = {" + "long text " * 1_000_000 + "}}")[0][2]["t"]) == 9_999_999
+
+
 def test_bibtex_errors_and_encodings(spark):
     rows = bibtex.parse(files(spark, "@article{open, title = {x}", "", "@article{k, title {x}}", "@book{k,title={caf\xe9}}".encode("cp1252"), "﻿@book{m,title={é}}")).collect()
     by = {r.path: r for r in rows}
