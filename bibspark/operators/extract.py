@@ -106,9 +106,9 @@ def stem_key(folded_stem: Column) -> Column:
     return squeeze(F.regexp_replace(folded_stem, r"\b(pdf|original|impresso|imprimido|browser|site|scaneado|escaneado|ocr)\b", " "))
 
 
-# Two grammars of a line of citation.
-_LINE_A = r"(?imU)^\s*([A-ZÀ-Ý][^\n]{2,140}?)\s*,?\s*v\.?\s*(\d+)(?:\s*,\s*n\.?\s*([A-Za-z0-9.-]+))?(?:\s*,\s*p\.?\s*(\d+)\s*[-–—]\s*(\d+))?(?:\s*,[^\n]{0,70})?\s*,?\s*((?:19|20)\d{2})\s*$"
-_LINE_B = r"(?imU)^\s*([A-ZÀ-Ý][^\n]{2,140}?)\s+(\d+)\s*\(((?:19|20)\d{2})\)\s*(?:(\d+)\s*[-–—]\s*(\d+)|([A-Za-z]?\d{4,}))\s*$"
+# Two grammars of a line of citation, and words that no journal's name holds.
+LINE_A = r"(?imU)^\s*([A-ZÀ-Ý][^\n]{2,140}?)\s*,?\s*v\.?\s*(\d+)(?:\s*,\s*n\.?\s*([A-Za-z0-9.-]+))?(?:\s*,\s*p\.?\s*(\d+)\s*[-–—]\s*(\d+))?(?:\s*,[^\n]{0,70})?\s*,?\s*((?:19|20)\d{2})\s*$"
+LINE_B = r"(?imU)^\s*([A-ZÀ-Ý][^\n]{2,140}?)\s+(\d+)\s*\(((?:19|20)\d{2})\)\s*(?:(\d+)\s*[-–—]\s*(\d+)|([A-Za-z]?\d{4,}))\s*$"
 _JOURNAL_NOISE = "abstract|resumo|keywords|palavras chave|research article|review article|original article|received|accepted|doi|http|issn"
 
 
@@ -122,7 +122,7 @@ def journal_name(c: Column) -> Column:
 def periodical_fields(text: Column, doi: Column) -> Column:
     """struct of journal, volume, issue, pages, article_number, year, source_url from generic front matter; null where nothing visible supports a value."""
     t = F.substring(text, 1, SEARCH_CHARS)
-    a, b = (lambda g: first_match(t, _LINE_A, g)), (lambda g: first_match(t, _LINE_B, g))
+    a, b = (lambda g: first_match(t, LINE_A, g)), (lambda g: first_match(t, LINE_B, g))
     in_a = a(1).isNotNull()
     cited = lambda x, y: F.when(in_a, a(x) if x else F.lit(None)).otherwise(b(y) if y else F.lit(None))
     span = lambda s, e: F.when(s.isNotNull() & e.isNotNull(), F.concat(s, F.lit("-"), e))

@@ -167,3 +167,13 @@ def type_candidates(metadata: DataFrame, source_format: str) -> DataFrame:
         found.append(F.struct(_looked_up(RIS_FAMILIES, F.upper("entry_type")).alias("family"), medium(listed("UR") | listed("DO")).alias("medium"), F.lit(0.99).alias("confidence"), F.concat(F.lit("entry type "), F.col("entry_type")).alias("reason")))
     out = metadata.select("record_id", F.lit(source_format).alias("source_format"), "source_file", "source_record_id", F.inline(F.filter(F.array(*found), lambda e: e["family"].isNotNull())))
     return out.select("record_id", "family", "medium", "source_format", "source_file", "source_record_id", "confidence", "reason")
+
+
+def schema_candidates(types: DataFrame, catalog) -> DataFrame:
+    """types with the schema_id that the catalog has for the family and medium (a family of one schema: that one) and ord; others go."""
+    families: dict[str, dict[str, str]] = {}
+    for s in catalog.schemas:
+        families.setdefault(s["family"], {})[s["medium"]] = s["id"]
+    pairs = {f"{family} {medium}": of.get(medium) or (next(iter(of.values())) if len(of) == 1 else None) for family, of in families.items() for medium in ("print", "electronic")}
+    found = types.withColumn("schema_id", _looked_up({k: v for k, v in pairs.items() if v}, F.concat_ws(" ", "family", "medium"))).filter("schema_id IS NOT NULL")
+    return found.withColumn("ord", (F.col("confidence") * 100).cast("long"))

@@ -186,6 +186,7 @@ def resolve(ledger: DataFrame, types: DataFrame, catalog, *, access_date: str, o
     from bibspark.plans.catalog import repeatable as repeatable_of
 
     spark = ledger.sparkSession
+    ledger, types = checkpointed(ledger), checkpointed(types)  # read several times below; what they come from runs once
     repeatable = repeatable_of(catalog.dim_field(spark))
     shape = catalog.dim_schema_field(spark)
     chosen = resolve_schema(types.join(F.broadcast(catalog.dim_schema(spark).select("schema_id")), "schema_id", "left_semi"), overrides)

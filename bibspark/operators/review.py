@@ -71,3 +71,28 @@ def suggestions(values: DataFrame, memory: DataFrame) -> DataFrame:
     met = values.join(memory, ["field_name", "source_key", "document_type"])
     listed = F.array_sort(F.collect_list(F.struct((-F.col("confirmation_count")).alias("rank"), (-F.col("updated").cast("double")).alias("age"), F.col("replacement_value").alias("value"))))
     return met.groupBy("doc_id", "field_name").agg(F.transform(listed, lambda s: s["value"]).alias("suggestions"))
+
+
+def reviewed_values(text: Column, *, repeatable: bool) -> Column:
+    """The values that a reviewer typed: of a list one a line, semicolons being allowed too; no text has none."""
+    whole = F.nullif(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    parts = F.transform(F.split(whole, r"(?U)(?:\r?\n)+|\s*;\s*"), lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", "")) if repeatable else F.array(whole)
+    return F.coalesce(F.when(whole.isNotNull(), F.filter(parts, lambda v: v != "")), F.expr("cast(array() as array<string>)"))
+
+
+def typed_text(values: Column) -> Column:
+    """A list of values as a reviewer sees it, one a line."""
+    return F.array_join(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != ""), "\n")
+
+
+def reviewed_changes(ledger: DataFrame, overrides: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(record_id, field_id, replacement_value): what review has decided on each record, to be stored.
+
+    Values typed by a reviewer in their order, one a line; null for fields that were cleared; the schema where it was chosen, as
+    __schema_id__.
+    """
+    typed = ledger.filter("method = 'api_review'").groupBy("record_id", "field_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("sequence", F.lit(10_000)).alias("at"), "value"))).alias("v"))
+    typed = typed.select("record_id", "field_id", F.array_join(F.transform("v", lambda x: x["value"]), "\n").alias("replacement_value"))
+    cleared = excluded.join(typed.select("record_id", "field_id"), ["record_id", "field_id"], "left_anti").select("record_id", "field_id", F.lit(None).cast("string").alias("replacement_value"))
+    chosen = overrides.filter("schema_override IS NOT NULL").select("record_id", F.lit("__schema_id__").alias("field_id"), F.col("schema_override").alias("replacement_value"))
+    return typed.unionByName(cleared).unionByName(chosen)

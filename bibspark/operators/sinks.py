@@ -18,7 +18,7 @@ ORDER = ["sort_name", "sort_title", "sort_year", "record_id"]
 
 
 def write_text(rows: DataFrame, path: str, *, notice: str | None = None) -> None:
-    """References in order, a blank line between them, parts in order of name; the notice is a file of its own that sorts first.
+    """References in order, a blank line between them, parts in order of name; the notice is a folder beside it, named as it with .notice at the end.
 
     The order is by range, so no task holds the whole list.
     """

@@ -39,9 +39,10 @@ def with_sort_keys(records: DataFrame, *, fallback: str | None = None) -> DataFr
     return records.withColumn("sort_name", F.when(known, match_text(layouts.sort_responsibility(view))).otherwise(other)).withColumn("sort_title", F.when(known, match_text(layouts.sort_title(view))).otherwise(F.lit(""))).withColumn("sort_year", F.when(known, layouts.year_value(view)).otherwise(F.lit(""))).withColumn("authorship", layouts.authorship(view))
 
 
-def compile_references(ledger: DataFrame, types: DataFrame, catalog, *, access_date: str, headers: DataFrame | None = None, overrides: DataFrame | None = None, excluded: DataFrame | None = None, all_names: bool = True, strict: bool = True) -> DataFrame:
+def compile_references(ledger: DataFrame, types: DataFrame, catalog, *, access_date: str, headers: DataFrame | None = None, overrides: DataFrame | None = None, excluded: DataFrame | None = None, all_names: bool = True, strict: bool = True, families: list[str] | None = None) -> DataFrame:
     """Resolve, letter and render; one row per record with its sort keys, to be ordered by sort_name, sort_title, sort_year, record_id.
 
+    families names the layouts that can occur (without it the catalog's), which keeps the plan small.
     headers (record_id, source_name, include, status) says which records count; a failed or left-out record has no reference.
     """
     fields, records = resolve(ledger, types, catalog, access_date=access_date, overrides=overrides, excluded=excluded, strict=strict)
@@ -53,7 +54,7 @@ def compile_references(ledger: DataFrame, types: DataFrame, catalog, *, access_d
     usable = F.coalesce("include", F.lit(True)) & (F.coalesce("status", F.lit("processed")) != "failed")
     rows = with_sort_keys(rows, fallback="source_name").withColumn("eligible", F.col("ready") & usable)
     rows = year_letters(rows, group=["authorship", "sort_year"], order=["sort_name", "sort_title", "sort_year", "record_id"], eligible="eligible")
-    families = sorted({s["family"] for s in catalog.schemas} & set(layouts.LAYOUTS))
+    families = families or sorted({s["family"] for s in catalog.schemas} & set(layouts.LAYOUTS))
     rendered = layouts.render(rows.withColumn("was_ready", F.col("ready")).withColumn("ready", F.col("eligible")), access_date=access_date, families=families, all_names=all_names, policy=catalog.policy)
     return rendered.withColumn("ready", F.col("was_ready")).drop("was_ready")
 

@@ -8,12 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bibspark import layout_queries
 from bibspark.functions import names, text
 from bibspark.functions.fold import match_text, title_key, word_key
-from bibspark.operators import extract, gate, ledger, link, records, resolve, review, store
+from bibspark.operators import extract, front, gate, ledger, link, records, resolve, review, store
 from bibspark.operators.rounds import components
 from bibspark.plans import compile as compiled
 from bibspark.plans import render as layouts
+from bibspark.plans import schemas
 from bibspark.sources import bibtex, inventory, pages, ris
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +43,12 @@ MATCH = "trim(regexp_replace(strip_accents(replace(lower({0}), 'ß', 'ss')), '\\
 STRIP = "rtrim(trim({0}), '.;, ')"
 
 
+# a to z, aa to zz, then three letters and four.
+_SUFFIX_SQL = """CASE WHEN i < 26 THEN chr(CAST(97 + i AS INT)) WHEN i < 702 THEN chr(CAST(96 + i // 26 AS INT)) || chr(CAST(97 + i % 26 AS INT))
+  WHEN i < 18278 THEN chr(CAST(97 + (i - 702) // 676 AS INT)) || chr(CAST(97 + (i - 702) // 26 % 26 AS INT)) || chr(CAST(97 + (i - 702) % 26 AS INT))
+  ELSE chr(CAST(97 + (i - 18278) // 17576 AS INT)) || chr(CAST(97 + (i - 18278) // 676 % 26 AS INT)) || chr(CAST(97 + (i - 18278) // 26 % 26 AS INT)) || chr(CAST(97 + (i - 18278) % 26 AS INT)) END"""
+
+
 # Normalisation and keys.
 
 
@@ -213,6 +221,42 @@ def variant_kinds(spark, sf_dir):
     return docs.select("doc_id", v.alias("variant"))
 
 
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN 'Growth of trees in ' || CAST(doc_id AS VARCHAR) || ' and other plants near water' END AS title, CASE WHEN doc_id % 4 < 3 THEN 'Ana Lima and Bruno de Souza' END AS authors FROM documents""")
+def front_matter(spark, sf_dir):
+    """Title and authors of the lines put before each document's whole text; every fourth has no line of authors."""
+    k = F.col("doc_id")
+    head = F.concat(F.lit("Vol. 3, n. 2, 2019\nGrowth of  trees in "), _s(k), F.lit("\nand other plants near water\n"), F.when(k % 4 < 3, "Ana Lima and Bruno de Souza\n").otherwise("Received 5 May 2019\n"), F.lit("Abstract\n"))
+    found = front.title_and_authors(front.lines_of(F.concat(head, F.coalesce("text", F.lit("")))), (extract.LINE_A, extract.LINE_B))
+    return table(spark, sf_dir, "documents").withColumn("f", found).select("doc_id", "f.title", "f.authors")
+
+
+_PRINTS = (
+    "example.org\nSPRINGER NATURE Link\nA long title of study {}\nthat goes on\nPublished: 5 March 2021\nVolume 12, pages 10–20 (2021)\nCite this article\nPlant Letters\nAna Lima, Bruno Souza & Carlos Melo1\nAbstract\n",
+    "ScienceDirect\nJournal of Things F\nVolume 7, May 2019, Pages 3-9\nTitle of work {}:\nA Review\nAna Lima, Bruno Souza*\nShow more\nhttps://doi.org/10.1016/x.{}.\n",
+    "Locus\nCitação\nLIMA, Ana. Work number {}. 2015. 88 f. Tese (Doutorado em X) - Universidade Y,\nViçosa. 2015.\nURI\nhttp://repo.example.org//12/{}\nColeções\n",
+    "Scientia Exempli B\nSci. Ex. 12 (3) • May-June 2018\nhttps://doi.org/10.1590/{}\nGrowth of plants {}\nAuthorship\nAna Lima, Bruno Souza\nScimago Institutions Rankings\nAbstract\n",
+)
+
+
+@query("""
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'springer_nature_web_print' WHEN 1 THEN 'sciencedirect_web_print' WHEN 2 THEN 'locus_repository_web_print' ELSE 'scielo_web_print' END AS profile,
+  CASE page_id % 4 WHEN 0 THEN 'A long title of study ' || CAST(page_id AS VARCHAR) || ' that goes on' WHEN 1 THEN 'Title of work ' || CAST(page_id AS VARCHAR) || ': a review' WHEN 2 THEN 'Work number ' || CAST(page_id AS VARCHAR) ELSE 'Growth of plants ' || CAST(page_id AS VARCHAR) END AS title,
+  CASE page_id % 4 WHEN 0 THEN 'Ana Lima; Bruno Souza; Carlos Melo' WHEN 2 THEN 'Ana Lima' ELSE 'Ana Lima; Bruno Souza' END AS authors, CASE page_id % 4 WHEN 0 THEN 'Plant Letters' WHEN 1 THEN 'Journal of Things' WHEN 3 THEN 'Scientia Exempli' END AS journal,
+  CASE WHEN page_id % 4 = 2 THEN 'Viçosa, MG' END AS place, CASE page_id % 4 WHEN 0 THEN '2021' WHEN 1 THEN '2019' WHEN 2 THEN '2015' ELSE '2018' END AS year, CASE page_id % 4 WHEN 1 THEN 'May' WHEN 3 THEN 'May-June' END AS month,
+  CASE page_id % 4 WHEN 0 THEN '12' WHEN 1 THEN '7' WHEN 3 THEN '12' END AS volume, CASE WHEN page_id % 4 = 3 THEN '3' END AS issue, CASE page_id % 4 WHEN 0 THEN '10-20' WHEN 1 THEN '3-9' END AS pages,
+  CASE page_id % 4 WHEN 1 THEN 'https://doi.org/10.1016/x.' || CAST(page_id AS VARCHAR) WHEN 2 THEN 'http://repo.example.org/12/' || CAST(page_id AS VARCHAR) WHEN 3 THEN 'https://doi.org/10.1590/' || CAST(page_id AS VARCHAR) END AS source_url,
+  CASE WHEN page_id % 4 = 2 THEN 'Universidade Y' END AS institution, CASE WHEN page_id % 4 = 2 THEN 'Tese (Doutorado em X)' END AS degree, CASE WHEN page_id % 4 = 2 THEN '88' END AS total_pages FROM pages""")
+def web_prints(spark, sf_dir):
+    """Fields of pages printed in four layouts, each above the page's whole text."""
+    k = F.col("page_id")
+    head = F.element_at(F.array(*map(F.lit, _PRINTS)), (k % 4 + 1).cast("int"))
+    text = F.concat(F.replace(head, F.lit("{}"), _s(k)), F.coalesce("html", F.lit("")))
+    found = front.web_print(text, journals=("scientia exempli",), place_names={"vicosa": "Viçosa, MG"})
+    rows = table(spark, sf_dir, "pages").withColumn("p", found)
+    return rows.select("page_id", *[f"p.{c}" for c in ("profile", "title", "authors", "journal", "place", "year", "month", "volume", "issue", "pages", "source_url", "institution", "degree", "total_pages")])
+
+
 # Ledger and resolution.
 
 
@@ -246,7 +290,7 @@ def _bibtex_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     braced = lambda value: F.concat(F.lit("{"), value, F.lit("}"))
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), (k % len(_KINDS) + 1).cast("int"))
     entry = F.concat(
-        F.lit("@"), kind, F.lit("{p"), k.cast("string"), field("title", braced(F.concat(F.lit("{"), "p_name", F.lit("} \\& more")))), field("author", braced(F.concat(F.lit("Lima, Ana and Souza, "), "p_brand"))), field("publisher", F.concat(F.lit('"House '), "p_brand", F.lit('"'))),
+        F.lit("@"), kind, F.lit("{p"), k.cast("string"), field("title", braced(F.concat(F.lit("{"), "p_name", F.lit("} \\& more "), k.cast("string")))), field("author", braced(F.concat(F.lit("Lima, Ana and Souza, "), "p_brand"))), field("publisher", F.concat(F.lit('"House '), "p_brand", F.lit('"'))),
         field("year", (1990 + k % 30).cast("string")), field("pagetotal", braced(F.col("p_size").cast("string"))), field("note", F.concat(F.lit("{A } # {"), "p_type", F.lit("}"))), F.when(k % 3 == 0, field("url", braced(F.concat(F.lit("https://example.org/p/"), k.cast("string"))))).otherwise(""),
         F.when(k % 4 == 0, field("doi", braced(F.concat(F.lit("https://doi.org/10.9/P."), k.cast("string"))))).otherwise(""), F.lit("\n}"),
     )
@@ -262,7 +306,7 @@ WITH p AS (SELECT *, p_partkey AS k, 'p' || CAST(p_partkey AS VARCHAR) AS source
 
 @query(_PARTS_SQL + """, m(field_id, value, sequence, method, confidence, k, source_record_id) AS (
   SELECT 'authors', 'Ana Lima', 1, 'm', 0.99, k, source_record_id FROM p UNION ALL SELECT 'authors', p_brand || ' Souza', 2, 'm', 0.99, k, source_record_id FROM p
-  UNION ALL SELECT 'title', p_name || ' & more', NULL, 'm', 0.99, k, source_record_id FROM p UNION ALL SELECT 'publication_year', CAST(1990 + k % 30 AS VARCHAR), NULL, 'm', 0.99, k, source_record_id FROM p
+  UNION ALL SELECT 'title', p_name || ' & more ' || CAST(k AS VARCHAR), NULL, 'm', 0.99, k, source_record_id FROM p UNION ALL SELECT 'publication_year', CAST(1990 + k % 30 AS VARCHAR), NULL, 'm', 0.99, k, source_record_id FROM p
   UNION ALL SELECT 'publisher', 'House ' || p_brand, NULL, 'm', 0.99, k, source_record_id FROM p UNION ALL SELECT 'doi', doi, NULL, 'm', 0.99, k, source_record_id FROM p
   UNION ALL SELECT 'doi', 'https://doi.org/' || doi, NULL, 'r', 0.99, k, source_record_id FROM p UNION ALL SELECT 'url', coalesce(url, 'https://doi.org/' || doi), NULL, 'm', 0.99, k, source_record_id FROM p
   UNION ALL SELECT 'work_type', 'Tese', NULL, 'm', 0.99, k, source_record_id FROM p WHERE kind = 'phdthesis' UNION ALL SELECT 'pagination', CAST(p_size AS VARCHAR), NULL, CASE kind WHEN 'phdthesis' THEN 'm' ELSE 'r' END, 0.99, k, source_record_id FROM p
@@ -313,6 +357,19 @@ def record_types(spark, sf_dir):
     return records.type_candidates(metadata, "bibtex").select("source_record_id", "family", "medium", "confidence", "reason")
 
 
+@query(_PARTS_SQL + f""", b AS (SELECT *, p_name || ' & more ' || CAST(k AS VARCHAR) AS title, CAST(1990 + k % 30 AS VARCHAR) AS year, coalesce(url, 'https://doi.org/' || doi) AS address FROM p WHERE kind = 'book'),
+n AS (SELECT *, count(*) OVER (PARTITION BY year) AS same, row_number() OVER (PARTITION BY year ORDER BY {MATCH.format("title")}) - 1 AS i FROM b)
+SELECT source_record_id, CASE WHEN address IS NULL THEN 'print' ELSE 'electronic' END AS medium, 'LIMA, Ana; SOUZA, Brand. ' || title || '. [S. l.]: House ' || p_brand || ', ' || year || CASE WHEN same > 1 THEN {_SUFFIX_SQL} ELSE '' END || '. ' || CAST(p_size AS VARCHAR) || ' p.'
+  || CASE WHEN address IS NULL THEN ' A ' || p_type || '.' ELSE '' END || CASE WHEN doi IS NOT NULL THEN ' DOI: https://doi.org/' || doi || '.' ELSE '' END || CASE WHEN url IS NOT NULL THEN ' Disponível em: ' || url || '. Acesso em: 5 mar. 2024.' ELSE '' END AS reference FROM n""")
+def compiled_books(spark, sf_dir):
+    """Parts as BibTeX books, from the parsed file to the reference: records, types, schemas of the manual, resolution, year letters, layout."""
+    catalog = schemas.catalog()
+    metadata = records.from_bibtex(bibtex.parse(_bibtex_files(spark, sf_dir)).filter("entry_type = 'book'"))
+    types = records.schema_candidates(records.type_candidates(metadata, "bibtex"), catalog)
+    rows = compiled.compile_references(records.records(metadata, "bibtex"), types, catalog, access_date="2024-03-05", families=["monograph"])
+    return rows.join(metadata.select("record_id", "source_record_id"), "record_id").select("source_record_id", "medium", "reference")
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of an order as candidates for the field of its flag: the supplier is the file, the part type the value."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", "l_quantity", "l_partkey")
@@ -470,12 +527,6 @@ def suggestions(spark, sf_dir):
 
 # Order and rendering.
 
-# a to z, aa to zz, then three letters and four.
-_SUFFIX_SQL = """CASE WHEN i < 26 THEN chr(CAST(97 + i AS INT)) WHEN i < 702 THEN chr(CAST(96 + i // 26 AS INT)) || chr(CAST(97 + i % 26 AS INT))
-  WHEN i < 18278 THEN chr(CAST(97 + (i - 702) // 676 AS INT)) || chr(CAST(97 + (i - 702) // 26 % 26 AS INT)) || chr(CAST(97 + (i - 702) % 26 AS INT))
-  ELSE chr(CAST(97 + (i - 18278) // 17576 AS INT)) || chr(CAST(97 + (i - 18278) // 676 % 26 AS INT)) || chr(CAST(97 + (i - 18278) // 26 % 26 AS INT)) || chr(CAST(97 + (i - 18278) % 26 AS INT)) END"""
-
-
 @query(f"""
 SELECT o_orderkey, CASE WHEN n > 1 THEN {_SUFFIX_SQL} ELSE '' END AS year_suffix FROM (
   SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey % 50, year(o_orderdate)) AS n, row_number() OVER (PARTITION BY o_custkey % 50, year(o_orderdate) ORDER BY o_orderkey) - 1 AS i FROM orders)""")
@@ -632,3 +683,6 @@ def keyed_upsert(spark, sf_dir):
     old = c.filter("c_custkey % 4 <> 0").select("c_custkey", F.col("c_mktsegment").alias("original"), F.col("c_mktsegment").alias("current"))
     new = c.filter("c_custkey % 3 = 0").select("c_custkey", F.lower("c_mktsegment").alias("original"), F.lower("c_mktsegment").alias("current"))
     return review.upserted(old, new, ["c_custkey"], keep_first=("original",))
+
+
+layout_queries.register(query)

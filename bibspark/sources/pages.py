@@ -66,3 +66,10 @@ def mean_confidence(words: DataFrame, *, keys: list[str]) -> DataFrame:
     """Mean of the confidences that aren't negative, as a share from 0 to 1; 0 without any."""
     mean = F.avg(F.when(F.col("conf") >= 0, F.col("conf"))) / 100
     return words.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(mean, F.lit(0.0)))).alias("confidence"))
+
+
+def recognition_command(program: Column | str, image: Column, output: Column, *, languages: str, page_mode: int = 3, models: str | None = None) -> Column:
+    """The arguments, as an array, with which a recogniser writes a table of a page's words; running it is left to who has the program."""
+    lit = lambda v: F.lit(v) if isinstance(v, str) else v
+    folder = ["--tessdata-dir", models] if models else []
+    return F.array(lit(program), image, output, *[F.lit(a) for a in ("-l", languages, "--oem", "1", "--psm", str(page_mode), *folder, "-c", "tessedit_create_tsv=1")])

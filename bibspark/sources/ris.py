@@ -1,14 +1,17 @@
-"""RIS files, natively: lines, tags and continuation lines as windows over each file."""
+"""RIS files, natively: a file is cut into records where they end, and each record is read inside its own row, so nothing is shuffled.  Values are normalised in Arrow batches."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bibspark.functions.fold import clean
+from bibspark.functions.fold import clean_of
 
 TAG = r"(?s)^\s*([A-Z0-9]{2})\s*-\s?(.*)$"
+LINE_END = r"\r\n|\n|\r"
+RECORD_END = r"(?m)^[ \t]*ER[ \t]*-[^\r\n]*$"
+ANY_TAG = r"(?m)^[ \t]*[A-Z0-9]{2}[ \t]*-"
 
 
 def files(spark: SparkSession, directory: str, *, recursive: bool = False) -> DataFrame:
@@ -18,27 +21,37 @@ def files(spark: SparkSession, directory: str, *, recursive: bool = False) -> Da
     return read.select("path", F.regexp_replace(text, "^﻿", "").alias("text"))
 
 
+def _by_tag(batches):
+    """Records' (tag, value) pairs as maps of clean values; those that hold nothing are left out."""
+    for batch in batches:
+        maps = []
+        for told in batch.column("told").to_pylist():
+            fields: dict[str, list[str]] = {}
+            for pair in told:
+                if value := clean_of(pair["value"] or ""):
+                    fields.setdefault(pair["tag"], []).append(value)
+            maps.append(list(fields.items()))
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("entry_no"), pa.array(maps, pa.map_(pa.string(), pa.list_(pa.string())))], names=["path", "entry_no", "fields"])
+
+
 def parse(sources: DataFrame) -> DataFrame:
     """(path, entry_no, entry_type, entry_key, fields map<string, array<string>>, error) of files (path, text).
 
     ER ends a record.  A line without a tag goes on with the one before, after a space.  A file whose last record doesn't end, or without any
-    record, gives one row with its error.  A file is a unit of work here, as are its records' windows.
+    record, gives one row with its error.
     """
-    lines = sources.select("path", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("pos", "line"))
-    tag, rest = F.regexp_extract("line", TAG, 1), F.regexp_extract("line", TAG, 2)
-    lines = lines.withColumn("tag", F.nullif(tag, F.lit(""))).withColumn("value", F.when(F.col("tag").isNotNull(), F.trim(rest)).otherwise(F.trim("line")))
-    walk = W.partitionBy("path").orderBy("pos")
-    ended = F.coalesce(F.sum(F.when(F.col("tag") == "ER", 1).otherwise(0)).over(walk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.withColumn("entry_no", (ended + 1).cast("int")).withColumn("group", F.sum(F.when(F.col("tag").isNotNull(), 1).otherwise(0)).over(walk))
-    told = lines.filter("group > 0 AND (tag IS NOT NULL OR value <> '')").groupBy("path", "entry_no", "group").agg(F.max("tag").alias("tag"), F.min("pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), " ").alias("value"))
-    told = told.withColumn("value", clean("value"))
-    values = told.groupBy("path", "entry_no", "tag").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("pos", "value")))), lambda x: x["value"]).alias("values"), F.min("pos").alias("pos"))
-    entries = values.groupBy("path", "entry_no").agg(F.map_from_entries(F.collect_list(F.when((F.col("tag") != "ER") & (F.size("values") > 0), F.struct("tag", "values")))).alias("fields"), F.bool_or(F.col("tag") == "ER").alias("closed"), F.count_if(F.col("tag") != "ER").alias("n"))
+    parts = F.split(F.coalesce("text", F.lit("")), RECORD_END, -1)
+    cut = sources.select("path", F.filter(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda r: r.rlike(ANY_TAG)).alias("records"), F.element_at(parts, -1).rlike(ANY_TAG).alias("open"))
+    wrong = F.when(F.col("open"), "a record doesn't end").when(F.size("records") == 0, "no record")
+    cut = cut.select("path", "records", wrong.alias("error"))
+    errors = cut.filter("error IS NOT NULL").select("path", F.lit(None).cast("int").alias("entry_no"), F.lit(None).cast("string").alias("entry_type"), F.lit(None).cast("string").alias("entry_key"), F.lit(None).cast("map<string,array<string>>").alias("fields"), "error")
+    rows = cut.filter("error IS NULL").select("path", F.posexplode("records").alias("at", "record"))
+    line = F.transform(F.split("record", LINE_END), lambda x: F.struct(F.regexp_extract(x, TAG, 1).alias("tag"), F.when(x.rlike(TAG), F.trim(F.regexp_extract(x, TAG, 2))).otherwise(F.trim(x)).alias("value")))
+    none = F.expr("cast(array() as array<struct<tag:string,value:string>>)")
+    last = lambda acc: F.element_at(acc, -1)
+    longer = lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["tag"].alias("tag"), F.trim(F.concat_ws(" ", last(acc)["value"], x["value"])).alias("value"))))
+    told = F.aggregate(line, none, lambda acc, x: F.when(x["tag"] != "", F.concat(acc, F.array(x))).when((x["value"] != "") & (F.size(acc) > 0), longer(acc, x)).otherwise(acc))
+    rows = rows.select("path", (F.col("at") + 1).cast("int").alias("entry_no"), told.alias("told")).mapInArrow(_by_tag, "path string, entry_no int, fields map<string,array<string>>")
     first = lambda *tags: F.coalesce(*[F.try_element_at(F.try_element_at(F.col("fields"), F.lit(t)), F.lit(1)) for t in tags])
-    entries = entries.filter("n > 0")
-    good = entries.filter("closed").select("path", "entry_no", F.upper(F.coalesce(first("TY"), F.lit("GEN"))).alias("entry_type"), F.coalesce(first("ID", "AN"), F.concat(F.lit("record-"), F.col("entry_no").cast("string"))).alias("entry_key"), "fields", F.lit(None).cast("string").alias("error"))
-    broken = entries.filter("NOT closed").select("path").distinct().select("path", F.lit("a record doesn't end").alias("error"))
-    empty = sources.select("path").join(entries.select("path"), "path", "left_anti").select("path", F.lit("no record").alias("error"))
-    errors = broken.unionByName(empty)
-    good = good.join(errors.select("path"), "path", "left_anti")
-    return good.unionByName(errors, allowMissingColumns=True)
+    good = rows.select("path", "entry_no", F.upper(F.coalesce(first("TY"), F.lit("GEN"))).alias("entry_type"), F.coalesce(first("ID", "AN"), F.concat(F.lit("record-"), F.col("entry_no").cast("string"))).alias("entry_key"), "fields", F.lit(None).cast("string").alias("error"))
+    return good.unionByName(errors)
