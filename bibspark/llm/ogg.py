@@ -184,6 +184,37 @@ def timed_packets(streams: list[Stream]) -> tuple[int, int, list[Timed]]:
     return rate, total, out
 
 
+def clock_of(identity: bytes) -> tuple[int, int] | None:
+    """(granules a second, granules before the start) that a stream's first packet states: the own format, Vorbis or Opus; else null."""
+    if len(identity) == IDENTITY.size and identity.startswith(MAGIC):
+        return IDENTITY.unpack(identity)[3], 0
+    if identity.startswith(b"\x01vorbis") and len(identity) >= 16:
+        return int.from_bytes(identity[12:16], "little"), 0
+    if identity.startswith(b"OpusHead") and len(identity) >= 12:
+        return 48_000, int.from_bytes(identity[10:12], "little")
+    return None
+
+
+def by_granules(stream: Stream, rate: int, before: int = 0) -> list[tuple[int, float, float, bytes]]:
+    """(packet, start, end, data) of every packet after the first, in seconds, from granule positions alone.
+
+    The last packet that ends on a page ends at the page's position; packets before it on the page share the time since the
+    position before evenly.  Header packets end at 0.  Raises OggError where positions go back.
+    """
+    out, last, waiting = [], 0, []
+    for k, (data, granule) in enumerate(stream.packets[1:], 1):
+        waiting.append((k, data))
+        if granule is None:
+            continue
+        if granule < last:
+            raise OggError("granule positions go back")
+        ends = [last + (granule - last) * (i + 1) / len(waiting) for i in range(len(waiting))]
+        for (n, d), a, b in zip(waiting, [last, *ends], ends, strict=False):
+            out.append((n, max(0.0, (a - before) / rate), max(0.0, (b - before) / rate), d))
+        last, waiting = granule, []
+    return out
+
+
 def features(rate: int, streams: list[Stream], packets: list[Timed]) -> str:
     """Counts and times of the container, then mean, spread and sign changes of the samples about the middle value."""
     wave = np.frombuffer(b"".join(p.data for p in packets), np.uint8)
@@ -213,9 +244,10 @@ def stored(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
     return docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).mapInArrow(run, f"key {kind}, media binary").withColumnRenamed("key", key)
 
 
-def packets(media: DataFrame, *, column: str = "media", key: str = "doc_id") -> DataFrame:
-    """One row per data packet: key, serial, packet, start_s, end_s, data, error.
+def packets(media: DataFrame, *, column: str = "media", key: str = "doc_id", rate: int = RATE) -> DataFrame:
+    """One row per packet after a stream's first: key, serial, packet, start_s, end_s, data, error.
 
+    Streams of the own format are timed as they were cut; Vorbis, Opus and other streams by granules alone, the others at `rate`.
     A null or broken bitstream gives one row with its error and nulls besides; an empty one has no stream and gives none.
     """
     kind = media.schema[key].dataType.simpleString()
@@ -227,8 +259,13 @@ def packets(media: DataFrame, *, column: str = "media", key: str = "doc_id") ->
                 try:
                     if m is None:
                         raise OggError("no bitstream")
-                    rate, _, found = timed_packets(read(m)) if m else (1, 0, [])
-                    rows += [(k, p.serial, p.number, p.start / rate, p.end / rate, p.data, None) for p in found]
+                    streams = read(m)
+                    if all(s.packets and s.packets[0][0].startswith(MAGIC) for s in streams):
+                        own, _, found = timed_packets(streams) if streams else (1, 0, [])
+                        rows += [(k, p.serial, p.number, p.start / own, p.end / own, p.data, None) for p in found]
+                    else:
+                        timed = [(s.serial, *t) for s in streams if s.packets for t in by_granules(s, *(clock_of(s.packets[0][0]) or (rate, 0)))]
+                        rows += [(k, *t, None) for t in sorted(timed, key=lambda t: (t[2], t[0], t[1]))]
                 except OggError as e:
                     rows.append((k, None, None, None, None, None, str(e)))
                 if len(rows) > 2000:
@@ -246,7 +283,10 @@ def _packet_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document: the payload stored as Ogg, read back from the stored bytes, and its features (the bytes don't leave the task)."""
+    """Per document: the payload stored as Ogg, read back from the stored bytes, and its features (the bytes don't leave the task).
+
+    A null text counts as empty; rows stand alone, so null or equal ids are no matter.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
