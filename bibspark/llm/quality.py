@@ -78,7 +78,7 @@ def shape_names(n: int, distinct: int, counts: int, bars: bool) -> list[str]:
 class Features(dict):
     """word -> (slots of its features, its counts), worked out once for each word; with `wanted`, only the slots in it."""
 
-    MOST = 400_000
+    MOST = 100_000
 
     def __init__(self, wanted=None):
         super().__init__()
