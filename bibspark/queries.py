@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bibspark import layout_queries
 from bibspark.functions import names, text
 from bibspark.functions.fold import match_text, title_key, word_key
-from bibspark.operators import extract, front, gate, ledger, link, records, resolve, review, store
+from bibspark.operators import cards, extract, front, gate, ledger, link, records, resolve, review, store
 from bibspark.operators.rounds import components
 from bibspark.plans import compile as compiled
 from bibspark.plans import render as layouts
@@ -231,6 +231,29 @@ def front_matter(spark, sf_dir):
     return table(spark, sf_dir, "documents").withColumn("f", found).select("doc_id", "f.title", "f.authors")
 
 
+_BOOK_CARD = "Front\nCatalogação na Fonte\nBiblioteca X.\nBrasil. Ministério Y.\nA123b Manual n{} de\nplantas / Ministério. – Brasília - DF : Editora n{}, 2001.\n120 p. : il.\n"
+_THESIS_CARD = (
+    "ANA LIMA\nEstudo n{} sobre o crescimento\nTese apresentada ao Departamento de Botânica.\nPrograma de Pós-Graduação em Botânica.\n|Ficha catalográfica elaborada pela Biblioteca Central\nLima, Ana, 1980-\n"
+    "L732e 2010 Estudo n{} sobre o crescimento de plantas\ntropicais / Ana Lima. – Cidade, MG, 2010.\n88 f. : il. ; 29 cm.\n"
+)
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Manual n' || CAST(doc_id AS VARCHAR) || ' de plantas' ELSE 'Estudo n' || CAST(doc_id AS VARCHAR) || ' sobre o crescimento de plantas tropicais' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'BRASIL. Ministério Y' ELSE 'Ana Lima' END AS responsible,
+  CASE WHEN doc_id % 2 = 0 THEN 'Brasília, DF' ELSE 'Cidade das Flores, MG' END AS place, CASE WHEN doc_id % 2 = 0 THEN 'Editora n' || CAST(doc_id AS VARCHAR) END AS publisher, CASE WHEN doc_id % 2 = 0 THEN '2001' ELSE '2010' END AS year, CASE WHEN doc_id % 2 = 0 THEN '120' ELSE '88' END AS total_pages,
+  CASE WHEN doc_id % 2 = 1 THEN 'Departamento de Botânica' END AS department, CASE WHEN doc_id % 2 = 1 THEN 'botanica' END AS program, CASE WHEN doc_id % 2 = 1 THEN 'Estudo n' || CAST(doc_id AS VARCHAR) || ' sobre o crescimento' END AS cover_title, CASE WHEN doc_id % 2 = 1 THEN 'ANA LIMA' END AS cover_author FROM documents""")
+def catalog_cards(spark, sf_dir):
+    """Catalogue cards and covers of books and theses, put before each document's whole text."""
+    k, whole = F.col("doc_id"), F.concat(F.lit("\n"), F.coalesce("text", F.lit("")))
+    filled = lambda t: F.replace(F.lit(t), F.lit("{}"), _s(k))
+    cover, card = (filled(t) for t in _THESIS_CARD.split("|"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(filled(_BOOK_CARD), whole).alias("book"), F.concat(card, whole).alias("card"), cover.alias("cover"))
+    book, thesis = cards.book_card(F.col("book")), cards.thesis_card(F.col("card"), places={"cidade, mg": "Cidade das Flores, MG"})
+    rows = rows.select("doc_id", "cover", F.when(k % 2 == 0, book).alias("b"), F.when(k % 2 == 1, thesis).alias("t"), F.when(k % 2 == 1, cards.academic_fields(F.col("cover"), F.lit("thesis"), F.lit(99))).alias("a"))
+    odd = lambda c: F.when(k % 2 == 1, c)
+    return rows.select("doc_id", *[F.coalesce(f"b.{n}", f"t.{n}").alias(n) for n in ("title", "place", "year", "total_pages")], F.coalesce("b.corporate_author", "t.author").alias("responsible"), "b.publisher", "a.department", "a.program", odd(cards.cover_title(F.col("cover"))).alias("cover_title"), odd(cards.cover_author(F.col("cover"))).alias("cover_author"))
+
+
 _PRINTS = (
     "example.org\nSPRINGER NATURE Link\nA long title of study {}\nthat goes on\nPublished: 5 March 2021\nVolume 12, pages 10–20 (2021)\nCite this article\nPlant Letters\nAna Lima, Bruno Souza & Carlos Melo1\nAbstract\n",
     "ScienceDirect\nJournal of Things F\nVolume 7, May 2019, Pages 3-9\nTitle of work {}:\nA Review\nAna Lima, Bruno Souza*\nShow more\nhttps://doi.org/10.1016/x.{}.\n",

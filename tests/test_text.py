@@ -122,3 +122,32 @@ def test_blocked_titles_miss_no_pair(spark):
     got = {(r.doc_id, r.entry_id) for r in met.withColumn("s", link.title_ratio("doc_title", "entry_title")).filter("s >= 0.92").collect()}
     want = {(i, j) for i, x in rows for j, y in rows if difflib.SequenceMatcher(None, x, y).ratio() >= 0.92}
     assert got == want
+
+
+def test_cards_and_covers(spark):
+    from bibspark.operators import cards
+
+    rows = spark.createDataFrame([
+        (1, "nothing here / at all. – A, MG", "thesis"), (2, None, "thesis"), (3, "", "unknown"),
+        (4, "Capa\nUNIVERSIDADE X\nUm título longo\nque continua\nDissertação apresentada\nPublished: 3 May 2019\nDepartamento de Solos, 2019", "dissertation"),
+    ], "k int, t string, kind string")
+    f = cards.academic_fields(F.col("t"), F.col("kind"), F.lit(70), institutions={"universidade x": "Universidade Xis"}, cities={"nowhere": "N"}, degrees={"dissertation": "Dissertação (Mestrado)"})
+    got = {r.k: r for r in rows.select("k", cards.book_card(F.col("t")).alias("b"), f.alias("a"), cards.cover_title(F.col("t")).alias("title"), cards.cover_author(F.col("t")).alias("author"), cards.publication_month(F.col("t"), F.lit("2019")).alias("m")).collect()}
+    assert all(r.b is None for r in got.values())
+    assert got[4].a.institution == "Universidade Xis" and got[4].a.department == "Departamento de Solos" and got[4].a.degree == "Dissertação (Mestrado)" and got[4].a.total_pages == "70"
+    assert got[4].title == "UNIVERSIDADE X Um título longo que continua" and got[4].author == "UNIVERSIDADE X" and got[4].m == "May"
+    assert got[2].title is None and got[3].a.total_pages is None and got[1].a.total_pages == "70"
+
+
+def test_front_matter_lines(spark):
+    from bibspark.operators import front
+
+    lines = ["Ana Lima, Bruno Souza", "one word", "Ana Lima and Bruno de Souza", "received 1 May, Ana Lima", "See https://x.org, Ana", "A Title Of Some Words", "lower case, names here", "Lima", "Ana Lima 2019, Bruno"]
+    rows = spark.createDataFrame([(x,) for x in lines], "x string")
+    got = [r[0] for r in rows.select(front.looks_like_authors(F.col("x"))).collect()]
+    assert got == [True, False, True, False, False, True, False, False, False]
+    people = rows.select(front.person_list(F.lit("Ana Lima1, Bruno  Souza*; X & Carlos de Melo ABC"))).first()[0]
+    assert people == "Ana Lima; Bruno Souza; Carlos de Melo"
+    assert rows.select(front.uninverted(F.lit("DA SILVA-REIS, JOÃO DE"))).first()[0] == "João de da Silva-Reis"
+    none = spark.createDataFrame([(None,), ("",), ("just some text\nAbstract",)], "t string").select(front.title_and_authors(front.lines_of(F.col("t"))).alias("f"), front.web_print(F.col("t")).alias("w")).collect()
+    assert all((r.f is None or r.f.title is None) and r.w is None for r in none)
