@@ -47,14 +47,15 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lin
     quoted = f"`{text}`"
     own = docs.columns
     # One shuffle of the texts, by a 128-bit name of key and text; windows are read from it, and what they own comes back to it.
-    rows = docs.withColumns({"text_hash": F.xxhash64(text), "name_a": F.xxhash64(key, text), "name_b": F.xxhash64(F.lit(7), key, text)}).repartition("name_a", "name_b")
+    # Both sides use the same columns of a table of key and text, so they share the exchange; other columns make the join's own.
+    rows = docs.withColumns({"text_hash": F.xxhash64(text), "name_a": F.xxhash64(key, text), "name_b": F.xxhash64(F.lit(7), key, text)}).repartition("name_a", "name_b", "text_hash")
     hashed = _of_lines(quoted, f"if(size(l) < {lines}, null, {_windows('l', lines, 'struct({mark} AS mark, {h1} AS h1, {h2} AS h2)')})")
     windows = rows.select(F.col(key).alias("key"), "text_hash", "name_a", "name_b", F.inline(F.expr(hashed)))  # only hashes leave the row that holds the lines
     first = F.min(F.struct("key", "text_hash", F.col("mark").bitwiseAND(F.lit(LOW)).alias("pos"), "mark", "name_a", "name_b"))
-    owners = windows.groupBy("h1", "h2").agg(first.alias("own")).select("own.name_a", "own.name_b", "own.mark")
-    owned = owners.groupBy("name_a", "name_b").agg(F.collect_list("mark").alias("owned"))
+    owners = windows.groupBy("h1", "h2").agg(first.alias("own")).select("own.name_a", "own.name_b", "own.text_hash", "own.mark")
+    owned = owners.groupBy("name_a", "name_b", "text_hash").agg(F.collect_list("mark").alias("owned"))
     # The side of numbers is hashed: texts stream through the join unsorted.
-    met = rows.join(owned.hint("shuffle_hash"), ["name_a", "name_b"], "left")
+    met = rows.join(owned.hint("shuffle_hash"), ["name_a", "name_b", "text_hash"], "left")
     later = f"transform(array_except({_windows('l', lines, '{mark}')}, coalesce(owned, cast(array() as array<bigint>))), m -> cast(m & {LOW} AS int))"
     covered = f"array_distinct(flatten(transform({later}, p -> sequence(p, p + {lines - 1}))))"
     kept = "array_join(transform(array_except(sequence(0, size(l) - 1), c), i -> l[i]), '\\n')"
