@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from bibspark.functions import fold
 from bibspark.functions.arrows import mapped, texts
+from bibspark.sources import bibtex
 from pyspark.sql import functions as F
 
 
@@ -42,3 +43,17 @@ def test_lists(spark):
     split = mapped(lambda v: v.split(","), pa.list_(pa.string()), size=lambda v: 1 << 17)
     rows = spark.createDataFrame([(i, None if i == 7 else f"{i},x") for i in range(20)], "i int, v string").coalesce(1)
     assert {r.i: r.p for r in rows.select("i", split(F.col("v")).alias("p")).collect()} == {i: None if i == 7 else [str(i), "x"] for i in range(20)}
+
+
+def test_entries_leave_in_pieces():
+    file = "\n".join(f"@book{{k{i}, title = {{T {i}}}, note = {{{'x' * 200}}}}}" for i in range(50)).encode()
+    files = pa.RecordBatch.from_pydict({"path": [f"p{i}" for i in range(400)] + ["bad", "none"], "content": [file] * 400 + [b"@a{", None]})
+    held = []
+
+    def run():
+        for piece in bibtex.parsed(iter([files])):
+            held.append((piece.num_rows, set(piece["path"].to_pylist()), piece["error"].null_count))
+
+    _, peak = peak_of(run)
+    assert sum(n for n, _, _ in held) == 400 * 50 + 1 and len(held) > 10 and sum(n - e for n, _, e in held) == 1
+    assert sum(len(p) for _, p, _ in held) == 401 and peak < 4_000_000
