@@ -6,11 +6,12 @@ import difflib
 from collections import Counter
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from bibspark.functions.arrows import mapped
 
 LINK_RATIO = 0.92
 VARIANT_RATIO = 0.96
@@ -20,32 +21,30 @@ VARIANT_RANK = {"publisher_original": 5, "institutional_repository": 4, "bibtex"
 SECONDARY = ("browser_print", "scanned")
 
 
-@F.pandas_udf(T.DoubleType())
-def title_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+def title_ratio_of(left: str, right: str) -> float:
     """Ratio of difflib's matcher in this order of arguments (it isn't symmetric)."""
-    return pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
+    return difflib.SequenceMatcher(None, left, right).ratio()
 
 
+@lru_cache(256)
 def _pairs_of_letters(text: str) -> Counter:
     return Counter(zip(text, text[1:], strict=False))
 
 
-@F.pandas_udf(T.DoubleType())
-def text_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """title_ratio for long texts: difflib's default passes over frequent letters from 200 on, which are nearly all.  0 where LINK_RATIO is out of reach.
+def text_ratio_of(left: str, right: str) -> float:
+    """title_ratio_of for long texts: difflib's default passes over frequent letters from 200 on, which are nearly all.  0 where LINK_RATIO is out of reach.
 
     With m matched letters of la + lb there are at most la + lb - 2m + 1 matched runs, so at least m - (la + lb - 2m + 1) pairs of neighbours are in common.
     """
-    known = lru_cache(4096)(_pairs_of_letters)
+    both = len(left) + len(right)
+    m = LINK_RATIO * both / 2
+    if (_pairs_of_letters(left) & _pairs_of_letters(right)).total() < m - (both - 2 * m + 1) - 1e-6:
+        return 0.0
+    return difflib.SequenceMatcher(None, left, right, autojunk=False).ratio()
 
-    def ratio(a: str, b: str) -> float:
-        both = len(a) + len(b)
-        m = LINK_RATIO * both / 2
-        if (known(a) & known(b)).total() < m - (both - 2 * m + 1) - 1e-6:
-            return 0.0
-        return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
-    return pd.Series([None if a is None or b is None else ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
+title_ratio = mapped(title_ratio_of, pa.float64(), size=lambda _: 16)
+text_ratio = mapped(text_ratio_of, pa.float64(), size=lambda _: 16)
 
 
 def ratio_bound(left, right):

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from bibspark.functions import fold
 from bibspark.functions.arrows import mapped, texts
+from bibspark.operators import link
 from bibspark.sources import bibtex
 from pyspark.sql import functions as F
 
@@ -57,3 +58,11 @@ def test_entries_leave_in_pieces():
     _, peak = peak_of(run)
     assert sum(n for n, _, _ in held) == 400 * 50 + 1 and len(held) > 10 and sum(n - e for n, _, e in held) == 1
     assert sum(len(p) for _, p, _ in held) == 401 and peak < 4_000_000
+
+
+def test_ratios_hold_no_batch_of_counts():
+    own = [f"{i} " + "".join(chr(97 + (i * j * j + j) % 26) for j in range(220)) for i in range(1500)]
+    left, right = pa.array([*own, None, own[0]]), pa.array([*own[1:], own[0], "a", own[0]])
+    got, peak = peak_of(lambda: link.text_ratio.func(left, right))
+    assert got.to_pylist()[-2:] == [None, 1.0] and len(got) == 1502 and peak < 15_000_000
+    assert link.title_ratio.func(left[:3], right[:3]).to_pylist() == [link.title_ratio_of(a, b) for a, b in zip(own[:3], own[1:4], strict=True)]
