@@ -300,8 +300,8 @@ PRINT_ONLY = ("publication_source",)
 
 
 def joined(pieces: list[Column]) -> Column:
-    trimmed = F.transform(F.array(*pieces), lambda p: F.trim(p))
-    return F.array_join(F.filter(trimmed, lambda p: p.isNotNull() & (p != "")), " ")
+    # No lambda around the pieces: Spark would interpret all that stands in it, and work out anew what is said twice.  Joining passes over nulls.
+    return F.array_join(F.array_remove(F.array(*[F.trim(p) for p in pieces]), ""), " ")
 
 
 def reference(family: str, fields: Fields) -> Column:

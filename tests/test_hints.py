@@ -42,3 +42,12 @@ def test_long_text_without_card_takes_no_time_of_every_place(spark):
     began = time.time()
     got = rows.select(cards.thesis_card(F.col("t")).alias("c")).collect()
     assert {x.c.title for x in got} == {None} and time.time() - began < 10
+
+
+def test_pieces_of_a_reference_stand_in_no_lambda(spark):
+    from bibspark.plans import render
+
+    rows = spark.createDataFrame([(" a.", None, "", "b "), (None, None, "", " "), ("x", "y", " z ", None)], "a string, b string, c string, d string")
+    got = rows.select(render.joined([F.col(c) for c in "abcd"]).alias("r"))
+    assert [r.r for r in got.collect()] == ["a. b", "", "x y z"]
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
