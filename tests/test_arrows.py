@@ -60,6 +60,35 @@ def test_entries_leave_in_pieces():
     assert sum(len(p) for _, p, _ in held) == 401 and peak < 4_000_000
 
 
+def test_batches_of_files_hold_few_bytes_however_large_the_files(spark, monkeypatch):
+    kind = type(spark.range(1))
+    plain = kind.mapInArrow
+
+    def watched(self, step, *more):
+        def run(batches):
+            def few(batch):
+                assert batch.nbytes < 12_000_000, f"a batch of {batch.nbytes} bytes"
+                return batch
+
+            return step(map(few, batches))
+
+        return plain(self, run, *more)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    n = F.col("id").cast("string")
+    files = spark.range(40, numPartitions=1).select(n.alias("path"), F.encode(F.concat(F.lit("@book{k"), n, F.lit(", note = {"), F.repeat(F.lit("é"), F.lit(1 << 19) + F.col("id").cast("int")), F.lit("}}")), "UTF-8").alias("content"))
+    got = bibtex.parse(files).select("path", "entry_key", F.length(F.col("fields")["note"]).alias("n"), "error").collect()
+    assert sorted(map(tuple, got)) == sorted((str(i), f"k{i}", (1 << 19) + i, None) for i in range(40))
+
+
+@pytest.mark.parametrize("size", [0, 1, 1023, 1024, 1025, 2048, 2049])
+def test_files_are_whole_after_the_cut(spark, size):
+    content = bytes(i % 251 for i in range(size))
+    rows = bibtex.cut(spark.createDataFrame([("a", content), ("b", None), ("c", b"x")], "path string, content binary").coalesce(1))
+    batches = (pa.RecordBatch.from_pylist([r.asDict()]) for r in rows.collect())
+    assert list(bibtex.joined(batches)) == [("a", content)] * (size > 0) + [("c", b"x")]
+
+
 def test_ratios_hold_no_batch_of_counts():
     own = [f"{i} " + "".join(chr(97 + (i * j * j + j) % 26) for j in range(220)) for i in range(1500)]
     left, right = pa.array([*own, None, own[0]]), pa.array([*own[1:], own[0], "a", own[0]])
